@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, packing, sharding, suffix_dedup, url_filter
+from . import ann, decontaminate, gru_lm, langid, licenses, minhash_dedup, packing, sharding, suffix_dedup, url_filter
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_naive_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(spark, docs, model, keep=["doc_id", "held_out"])
 
 
+def op5_gru_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(spark, table(spark, sf_dir, "documents"), langid.fold("doc_id", 7) == 2)
+
+
 def op6_rare_token_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark, table(spark, sf_dir, "pages")).drop("rules_tried")
 
@@ -35,11 +39,25 @@ def op7_permutation_table_sharding(spark: SparkSession, sf_dir: str) -> DataFram
     return sharding.assign_shards(spark, table(spark, sf_dir, "documents"), "doc_id")
 
 
+def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark, table(spark, sf_dir, "embeddings"), every=20)
+
+
+def op9_tensored_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_length_packing, op2_template_decontamination, op3_suffix_interval_dedup, op4_naive_bayes_langid, op6_rare_token_url_rules, op7_permutation_table_sharding, op10_license_signatures)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_length_packing, op2_template_decontamination, op3_suffix_interval_dedup, op4_naive_bayes_langid, op5_gru_lm_scoring, op6_rare_token_url_rules,
+        op7_permutation_table_sharding, op8_multi_index_hashing, op9_tensored_minhash_dedup, op10_license_signatures,
+    )
+}
 
 
 def _op6_sql() -> str:
