@@ -36,6 +36,8 @@ LENGTH = 100
 GRAM = 16
 #: Segments that a task holds before it combines and sends them.
 FLUSH = 1_000_000
+#: Bytes of one suffix array; a minimiser with more bytes than that makes a larger one.
+ARRAY_BYTES = 1 << 20
 SYMBOLS = 7  # of 9 bits in a word of the first rank
 
 _TAB = np.random.default_rng(20240229).integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -226,7 +228,7 @@ def _cut_out(n_parts: int):
                 k = slice(cut[p], cut[p + 1])
                 ln = e[k] - s[k]
                 at = np.repeat(off[r[k]] + s[k] - np.append(0, np.cumsum(ln)[:-1]), ln) + np.arange(ln.sum())
-                out[int(p)] = {"d": ids[r[k]], "s": s[k], "n": ln, "b": raw[at]}
+                out[int(p)] = {"m": m[o][k], "d": ids[r[k]], "s": s[k], "n": ln, "b": raw[at]}
             if out:
                 yield _blob_batch(out)
 
@@ -344,18 +346,33 @@ def _groups(length: int):
     """Of one part: every occurrence but the first, of each maximal repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = _gathered(batches, {"d": np.int64, "s": np.int64, "n": np.int64, "b": np.uint8})
-        if not len(x["d"]):
+        x = _gathered(batches, {"m": np.uint64, "d": np.int64, "s": np.int64, "n": np.int64, "b": np.uint8})
+        if not len(x["m"]):
             return
-        sa, _, later = suffix_intervals(x["b"], x["n"], length, x["d"], x["s"])
-        if not later:
-            return
-        base = np.append(0, np.cumsum(x["n"])[:-1])
-        entry, prefix = np.array(later, np.int64).T
-        which = np.searchsorted(base, sa[entry], side="right") - 1
-        doc, pos = x["d"][which], x["s"][which] + sa[entry] - base[which]
-        rd, rs, re = merged(doc, pos, pos + prefix)
-        yield from _rows(rd, rs, re, np.zeros(len(rd), np.uint64), False)
+        # equal windows have one minimiser, so whole minimisers at a time, up to a size, make an array of their own
+        o = np.argsort(x["m"], kind="stable")
+        m, d, s, n = (x[k][o] for k in "mdsn")
+        base = (np.cumsum(x["n"]) - x["n"])[o]
+        ends = np.append(np.flatnonzero(m[1:] != m[:-1]) + 1, len(m))
+        total = np.append(0, np.cumsum(n))
+        lo, k = 0, 0
+        while lo < len(m):
+            k = max(k, int(np.searchsorted(total[ends], total[lo] + ARRAY_BYTES, side="right")) - 1)
+            while ends[k] <= lo:
+                k += 1
+            hi = int(ends[k])
+            part = slice(lo, hi)
+            size = n[part]
+            at = np.append(0, np.cumsum(size))
+            raw = x["b"][np.repeat(base[part] - at[:-1], size) + np.arange(at[-1])]
+            sa, _, later = suffix_intervals(raw, size, length, d[part], s[part])
+            if later:
+                entry, prefix = np.array(later, np.int64).T
+                which = np.searchsorted(at, sa[entry], side="right") - 1
+                doc, pos = d[part][which], s[part][which] + sa[entry] - at[which]
+                rd, rs, re = merged(doc, pos, pos + prefix)
+                yield from _rows(rd, rs, re, np.zeros(len(rd), np.uint64), False)
+            lo = hi
 
     return run
 
@@ -371,7 +388,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
     scan = d.mapInArrow(_scan(length, n), "part int, m binary, c binary, d binary, s binary, n binary, rd binary, rs binary, re binary")
     settled = written(spark, scan.repartition(n, "part").mapInArrow(_settle(length), _SPANS), "segments")
     todo = settled.where("todo").groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "m")).alias("todo"))
-    bytes_ = d.join(todo, "doc_id").select("doc_id", "text", "todo").mapInArrow(_cut_out(n), "part int, d binary, s binary, n binary, b binary")
+    bytes_ = d.join(todo, "doc_id").select("doc_id", "text", "todo").mapInArrow(_cut_out(n), "part int, m binary, d binary, s binary, n binary, b binary")
     compared = written(spark, bytes_.repartition(n, "part").mapInArrow(_groups(length), _SPANS), "repeats")
     spans = settled.where("not todo").unionByName(compared).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans._tables = (settled, compared)
