@@ -26,7 +26,9 @@ BROADCAST_ROWS = 1_000_000
 
 #: Units of measure.
 UNITS = ["mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "lb", "oz", "ml", "cl", "l", "gal", "s", "sec", "min", "h", "hr", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "hz", "khz", "mhz", "ghz", "v", "w", "kw", "kwh", "j", "kj", "n", "pa", "bar", "k", "c", "f", "usd", "eur", "gbp", "dollars", "euros", "pounds", "cents", "percent", "meters", "metres", "kilometers", "miles", "feet", "inches", "grams", "kilograms", "liters", "litres", "degrees", "bytes", "kb", "mb", "gb", "tb"]
-TOKEN = r"""(?:[.!?]["')\]\s]*)?(?:\p{N}+(?:[.,]\p{N}+)*|\p{L}[\p{L}\p{M}]*)"""
+#: ASCII but letters, one by one (Java looks them up in one table), and the blocks of Unicode punctuation.
+_NOT_LETTER = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalpha()) + "\\u00A0\\u00AB\\u00BB\\u2000-\\u206F\\u3000-\\u303F"
+TOKEN = rf"""(?:[.!?]["')\]\x20\x09\x0A\x0D]*+)?(?:[0-9]+(?:[.,][0-9]+)*|[^{_NOT_LETTER}]+)"""
 _LEAD = ".!?\"')] \n\t\r\f\u000b "
 
 

@@ -8,7 +8,7 @@ on a fixed share of the training rows (by hash, so it grows with the input), in
 common weights over its own rows, and the weights are averaged, weighted by tokens. Scoring runs whole documents side
 by side and carries the hidden state from window to window to the document's end.
 
-Token counts cover all training rows and stay distributed: only the HEAD most frequent words come to the driver and
+Token counts cover all training rows and stay distributed: only the KNOWN most frequent words come to the driver and
 are broadcast, and the other words of a text are joined with the counts by a shuffle, once per distinct word and row.
 
 Nulls and edge cases: a null or blank text is its end token alone; a null key counts as empty text for the folds;
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import session, text_arrays, written
 
 HEAD = 2048
-#: Bytes up to which a word can be in the head, which bounds what is broadcast.
-HEAD_BYTES = 64
+#: Words whose counts are broadcast; the first HEAD of them are the network's.
+KNOWN = 65536
+#: Bytes up to which a word can be among them, which bounds what is broadcast.
+KNOWN_BYTES = 64
 CLASSES = 32
 HIDDEN = 16
 WINDOW = 16  # steps of truncated back-propagation
@@ -66,8 +68,8 @@ class Network:
 
     def __init__(self, head: list[bytes], counts: list[int], rare: int):
         """head by falling count; rare: tokens outside the head, and one for each unseen word."""
-        self.ids = {w: i for i, w in enumerate(head)}
         v, self.rare = len(head), len(head)
+        self.end = head.index(_END) if _END in head else v
         total = sum(counts) + rare
         # classes of about equal mass, in order of frequency; the last one is for rare words
         mass = np.cumsum(counts) / max(sum(counts), 1) if v else np.zeros(0)
@@ -92,9 +94,14 @@ class Network:
             at += n
         return out
 
-    def encode(self, tokens: list[bytes]) -> np.ndarray:
-        get, rare = self.ids.get, self.rare
-        return np.array([*[get(w, rare) for w in tokens], get(_END, rare)], np.int32)
+
+
+def encode(ids: dict[bytes, int], tokens: list[bytes]) -> np.ndarray:
+    """Places of the words and of the end among the known words, or len(ids)."""
+    get, none = ids.get, len(ids)
+    out = [get(w, none) for w in tokens]
+    out.append(get(_END, none))
+    return np.array(out, np.int32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -178,10 +185,11 @@ def train_window(net: Network, p: dict, xs: np.ndarray, ys: np.ndarray, live: np
 
 def train_rows(net: Network, weights: np.ndarray, texts: list[np.ndarray], rate: float) -> tuple[np.ndarray, int]:
     """Weights after one pass over the texts (as word ids with the end), and the tokens seen; RMS-scaled steps."""
-    w, seen = weights.copy(), 0
+    w, seen, turn = weights.copy(), 0, 0
     square = np.zeros_like(w)
     p = net.parts(w)
-    end = net.ids.get(_END, net.rare)
+    end = net.end
+    texts = sorted(texts, key=len)  # lanes of about one length
     for lo in range(0, len(texts), LANES):
         lanes = texts[lo : lo + LANES]
         longest = max(map(len, lanes))
@@ -202,18 +210,19 @@ def train_rows(net: Network, weights: np.ndarray, texts: list[np.ndarray], rate:
             n = int(live[part].sum())
             g /= max(n, 1)
             square = 0.95 * square + 0.05 * g * g
-            w -= rate * g / (np.sqrt(square) + 1e-4)
+            turn += 1
+            w -= rate * g / (np.sqrt(square / (1 - 0.95**turn)) + 1e-4)
             seen += n
     return w, seen
 
 
 def _teach(model, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, weights = model.value
+        net, weights, ids = model.value
         w, total, held, size = weights, 0, [], 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                held.append(net.encode(words(t or b"")))
+                held.append(np.minimum(encode(ids, words(t or b"")), net.rare))
                 size += len(held[-1])
                 if size > 500_000:
                     w, n = train_rows(net, w, held, rate)
@@ -231,56 +240,56 @@ def score_texts(net: Network, weights: np.ndarray, texts: list[np.ndarray], limi
     """Natural log-probability of each text (word ids with the end), without the share of words inside `rare`."""
     p = net.parts(weights)
     out = np.zeros(len(texts))
-    end = net.ids.get(_END, net.rare)
-    order = np.argsort([-len(t) for t in texts], kind="stable")
-    for lo in range(0, len(order), 512):
-        lanes = order[lo : lo + 512]
-        lens = np.array([len(texts[i]) for i in lanes])
+    size = np.array([len(t) for t in texts])
+    flat, begin = np.concatenate(texts), np.append(0, np.cumsum(size))[:-1]
+    order = np.argsort(-size, kind="stable")
+    for lo in range(0, len(order), 1024):
+        lanes = order[lo : lo + 1024]
+        lens, at = size[lanes], begin[lanes]
+        # lanes fall by length, so the live ones come first
+        live = np.searchsorted(-lens, -np.arange(1, lens[0] + 1), side="right")
         h = np.zeros((len(lanes), HIDDEN), np.float32)
-        prev = np.full(len(lanes), end, np.int32)
+        prev = np.full(len(lanes), net.end, np.int32)
         s = 0
         while s < lens[0]:
             # a window of steps: its states are kept, and its outputs are computed at once
-            steps = min(max(1, limit // max(1, int((lens > s).sum()))), int(lens[0]) - s)
-            states, targets, owner = [], [], []
+            steps = min(max(1, limit // int(live[s])), int(lens[0]) - s)
+            states, targets = [], []
             for t in range(s, s + steps):
-                m = int((lens > t).sum())  # lanes fall by length, so the live ones come first
-                if not m:
-                    break
+                m = int(live[t])
                 h = _step(p, prev[:m], h[:m])[4]
-                y = np.fromiter((texts[i][t] for i in lanes[:m]), np.int32, m)
+                prev = flat[at[:m] + t]
                 states.append(h)
-                targets.append(y)
-                owner.append(np.arange(m))
-                prev = y
+                targets.append(prev)
             lp, _ = _outputs(net, p, np.concatenate(states), np.concatenate(targets))
-            out[lanes] += np.bincount(np.concatenate(owner), lp, minlength=len(lanes))
+            out[lanes] += np.bincount(np.concatenate([np.arange(len(x)) for x in targets]), lp, minlength=len(lanes))
             s += steps
     return out
 
 
 def _scan(model, extra: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, weights, head_base = model.value
-        for b in batches:
-            column = b.column(len(extra)).to_pylist()
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                coded, rare, known, base, n_tok = [], [], [], [], []
-                for t in column[lo : lo + 500]:
-                    ws = words(t or b"")
-                    x = net.encode(ws)
-                    inside = x < net.rare
-                    coded.append(x)
-                    rare.append(list(Counter(w for w, i in zip(ws, inside) if not i).items()) if not inside.all() else [])
-                    known.append(int(inside.sum()))
-                    base.append(float(head_base[x[inside]].sum()))
-                    n_tok.append(len(x))
-                score = score_texts(net, weights, coded) / np.log(10)
-                sizes = np.append(0, np.cumsum([len(r) for r in rare]))
-                flat = [x for r in rare for x in r]
-                tail = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([n for _, n in flat], pa.int64())], ["word", "n"]))
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(extra))], pa.array(n_tok, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), tail], names=[*extra, "n_tokens", "head_known", "head_base", "head_score", "tail"])
+        net, weights, ids, logs = model.value  # logs: log10(c + 1) by place, and 0 for unknown words
+        none = len(ids)
+        for part in batches:
+            coded, rare, sizes = [], [], [0]
+            for t in part.column(len(extra)).to_pylist():
+                ws = words(t or b"")
+                x = encode(ids, ws)
+                coded.append(x)
+                rare += Counter([ws[i] if i < len(ws) else _END for i in np.flatnonzero(x == none)]).items()
+                sizes.append(len(rare))
+            if not coded:
+                continue
+            n = np.array([len(x) for x in coded])
+            begin = np.append(0, np.cumsum(n))[:-1]
+            flat = np.concatenate(coded)
+            total = lambda v: np.add.reduceat(v, begin)  # noqa: B023, E731
+            outside = (flat >= net.rare) & (flat < none)
+            score = score_texts(net, weights, [np.minimum(x, net.rare) for x in coded]) / np.log(10) + total(np.where(outside, logs[flat], 0.0))
+            tail = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array([w for w, _ in rare], pa.binary()), pa.array([k for _, k in rare], pa.int64())], ["word", "n"]))
+            cols = [pa.array(n, pa.int64()), pa.array(total((flat < none).astype(np.int64)), pa.int64()), pa.array(total(logs[flat]), pa.float64()), pa.array(score, pa.float64()), pa.array(total((flat >= net.rare).astype(np.int64)), pa.int64()), tail]
+            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(extra))], *cols], names=[*extra, "n_tokens", "known_here", "logs_here", "score_here", "rare", "tail"])
 
     return run
 
@@ -293,32 +302,34 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out, key: str = "
     counts = written(spark, teach.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_train, v_train = total["n"] or 0, total["v"]
-    top = counts.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD).collect()
-    head, head_n = [bytes(r["word"]) for r in top], [r["n"] for r in top]
-    rare = n_train - sum(head_n) + v_train - len(head) + 1  # inside rare: (c + 1) / rare
-    net = Network(head, head_n, rare)
+    top = counts.where(F.length("word") <= KNOWN_BYTES).orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
+    known, known_n = [bytes(w) for w in top["word"]], top["n"].to_numpy(np.int64)
+    ids = {w: i for i, w in enumerate(known)}
+    head_n = known_n[:HEAD].tolist()
+    rare = n_train - sum(head_n) + v_train - len(head_n) + 1  # inside rare a word has (c + 1) / rare
+    net = Network(known[:HEAD], head_n, rare)
 
     weights = net.weights
     chosen = teach.where(F.pmod(F.xxhash64("text", "_key"), F.lit(SHARE)) == 0).select("text")
     for k in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((net, weights))
+        shared = spark.sparkContext.broadcast((net, weights, ids))
         mean = chosen.mapInArrow(_teach(shared, RATE / (1 + k)), "at int, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
         if len(mean):
             weights = mean.sort_values("at")["x"].to_numpy(np.float32)
 
     scale = np.log10(float(n_train + v_train + 1))
-    head_base = np.log10(np.array(head_n, np.float64) + 1) - scale
-    model = spark.sparkContext.broadcast((net, weights, head_base))
+    logs = np.append(np.log10(known_n + 1.0), 0.0)
+    model = spark.sparkContext.broadcast((net, weights, ids, logs))
     kind = docs.schema[key].dataType.simpleString()
-    scored = d.select("_key", "held_out", "text").mapInArrow(_scan(model, ["_key", "held_out"]), f"_key {kind}, held_out boolean, n_tokens long, head_known long, head_base double, head_score double, tail array<struct<word: binary, n: long>>")
+    scored = d.select("_key", "held_out", "text").mapInArrow(_scan(model, ["_key", "held_out"]), f"_key {kind}, held_out boolean, n_tokens long, known_here long, logs_here double, score_here double, rare long, tail array<struct<word: binary, n: long>>")
     scored = written(spark, scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
     tail = scored.select("_row", F.explode("tail").alias("t")).select("_row", "t.word", F.col("t.n").alias("m"))
-    met = tail.join(counts, "word", "left")
-    sums = met.groupBy("_row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("known"), F.sum("m").alias("tokens"), F.sum(F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("logs"))
+    # unseen words add log10(0 + 1) = 0 and are not known, so an inner join is enough
+    sums = tail.join(counts, "word").groupBy("_row").agg(F.sum("m").alias("known"), F.sum(F.col("m") * F.log10(F.col("n") + 1.0)).alias("logs"))
     both = scored.drop("tail").join(sums, "_row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return both.select(
-        F.col("_key").alias(key), "held_out", "n_tokens", (F.col("head_known") + zero("known")).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("head_base") + zero("logs") - zero("tokens") * F.lit(float(scale))).cast("double").alias("base_score"),
-        (F.col("head_score") + zero("logs") - zero("tokens") * F.lit(float(np.log10(rare)))).cast("double").alias("score"),
+        F.col("_key").alias(key), "held_out", "n_tokens", (F.col("known_here") + zero("known")).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
+        (F.col("logs_here") + zero("logs") - F.col("n_tokens") * F.lit(float(scale))).cast("double").alias("base_score"),
+        (F.col("score_here") + zero("logs") - F.col("rare") * F.lit(float(np.log10(rare)))).cast("double").alias("score"),
     )

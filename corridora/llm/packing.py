@@ -28,7 +28,7 @@ SLOT_ROWS = 16384
 
 
 def token_count(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit("[^\\x20\\x09\\x0A\\x0B\\x0C\\x0D]+")).cast("long")
 
 
 def length_bin(n: Column) -> Column:
