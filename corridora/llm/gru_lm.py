@@ -5,8 +5,9 @@ about equal frequency; the output is class-factored: a softmax over classes, the
 other words share a class, `rare`, inside which a word has its smoothed frequency, so every text has a proper
 probability. The output biases start at the words' frequencies. Training is truncated back-propagation over windows,
 on a fixed share of the training rows (by hash, so it grows with the input), in rounds: each task goes on from the
-common weights over its own rows, and the weights are averaged, weighted by tokens. Scoring runs whole documents side
-by side and carries the hidden state from window to window to the document's end.
+common weights over its own rows, and the weights are averaged, weighted by tokens. A task's texts are one stream, cut
+into lanes of one length; the state is carried from window to window and cleared where a text begins. Scoring runs
+whole documents side by side and carries the hidden state from window to window to the document's end.
 
 Token counts cover all training rows and stay distributed: only the KNOWN most frequent words come to the driver and
 are broadcast, and the other words of a text are joined with the counts by a shuffle, once per distinct word and row.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,9 @@ KNOWN_BYTES = 64
 CLASSES = 32
 HIDDEN = 16
 WINDOW = 16  # steps of truncated back-propagation
-LANES = 64  # texts side by side in training
+LANES = 32  # pieces of the stream of texts side by side in training
+SCORED_BYTES = 16 << 20  # of texts scored side by side
+SCORED_LANES = 4096
 SHARE = 48  # one training row in so many teaches the network
 ROUNDS = 2
 RATE = 0.01
@@ -98,10 +102,7 @@ class Network:
 
 def encode(ids: dict[bytes, int], tokens: list[bytes]) -> np.ndarray:
     """Places of the words and of the end among the known words, or len(ids)."""
-    get, none = ids.get, len(ids)
-    out = [get(w, none) for w in tokens]
-    out.append(get(_END, none))
-    return np.array(out, np.int32)
+    return np.fromiter(map(ids.get, chain(tokens, (_END,)), repeat(len(ids))), np.int32, len(tokens) + 1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -154,10 +155,12 @@ def _outputs(net: Network, p: dict, h: np.ndarray, y: np.ndarray, grad: dict | N
     return out, dh
 
 
-def train_window(net: Network, p: dict, xs: np.ndarray, ys: np.ndarray, live: np.ndarray, h: np.ndarray, grad: dict) -> np.ndarray:
-    """Adds the gradients of one window (steps x lanes) and returns the state after it."""
+def train_window(net: Network, p: dict, xs: np.ndarray, ys: np.ndarray, live: np.ndarray, h: np.ndarray, grad: dict, fresh: np.ndarray | None = None) -> np.ndarray:
+    """Adds the gradients of one window (steps x lanes) and returns the state after it, cleared before the fresh steps."""
     k, trace = HIDDEN, []
-    for x in xs:
+    for s, x in enumerate(xs):
+        if fresh is not None:
+            h = np.where(fresh[s][:, None], np.float32(0), h)
         z, r, n, u, new = _step(p, x, h)
         trace.append((h, z, r, n, u, new))
         h = new
@@ -169,51 +172,48 @@ def train_window(net: Network, p: dict, xs: np.ndarray, ys: np.ndarray, live: np
     dhs[rows] = dh_rows
     dhs = dhs.reshape(steps, lanes, k)
     dh = np.zeros((lanes, k), np.float32)
+    des = [None] * steps
     for s in range(steps - 1, -1, -1):
         before, z, r, n, u, _ = trace[s]
         d = dhs[s] + dh
         dn = d * (1 - z) * (1 - n * n)
         dz = d * (before - n) * z * (1 - z)
         dr = dn * u[:, 2 * k :] * r * (1 - r)
-        de = np.hstack([dz, dr, dn])
+        des[s] = np.hstack([dz, dr, dn])
         du = np.hstack([dz, dr, dn * r])
-        np.add.at(grad["E"], xs[s], de)
         grad["U"] += before.T @ du
         dh = d * z + du @ p["U"].T
+        if fresh is not None:
+            dh[fresh[s]] = 0
+    order = np.argsort(xs.ravel(), kind="stable")
+    words_met, begin = np.unique(xs.ravel()[order], return_index=True)
+    grad["E"][words_met] += np.add.reduceat(np.concatenate(des)[order], begin)
     return h
 
 
 def train_rows(net: Network, weights: np.ndarray, texts: list[np.ndarray], rate: float) -> tuple[np.ndarray, int]:
     """Weights after one pass over the texts (as word ids with the end), and the tokens seen; RMS-scaled steps."""
-    w, seen, turn = weights.copy(), 0, 0
+    w, turn = weights.copy(), 0
     square = np.zeros_like(w)
     p = net.parts(w)
-    end = net.end
-    texts = sorted(texts, key=len)  # lanes of about one length
-    for lo in range(0, len(texts), LANES):
-        lanes = texts[lo : lo + LANES]
-        longest = max(map(len, lanes))
-        y = np.full((longest, len(lanes)), end, np.int32)
-        live = np.zeros((longest, len(lanes)), bool)
-        for i, t in enumerate(lanes):
-            y[: len(t), i] = t
-            live[: len(t), i] = True
-        x = np.vstack([np.full((1, len(lanes)), end, np.int32), y[:-1]])
-        h = np.zeros((len(lanes), HIDDEN), np.float32)
-        for s in range(0, longest, WINDOW):
-            on = np.flatnonzero(live[s])
-            g = np.zeros_like(w)
-            part = slice(s, s + WINDOW)
-            after = train_window(net, p, x[part][:, on], y[part][:, on], live[part][:, on], h[on], net.parts(g))
-            h = np.zeros_like(h)
-            h[on] = after
-            n = int(live[part].sum())
-            g /= max(n, 1)
-            square = 0.95 * square + 0.05 * g * g
-            turn += 1
-            w -= rate * g / (np.sqrt(square / (1 - 0.95**turn)) + 1e-4)
-            seen += n
-    return w, seen
+    flat = np.concatenate(texts)
+    first = np.zeros(len(flat), bool)
+    first[np.append(0, np.cumsum([len(t) for t in texts])[:-1])] = True
+    lanes = max(1, min(LANES, len(flat) // WINDOW))
+    steps = -(-len(flat) // lanes)
+    lay = lambda v, gap: np.append(v, np.full(steps * lanes - len(v), gap, v.dtype)).reshape(lanes, steps).T
+    x, y = lay(np.where(first, net.end, np.append(net.end, flat[:-1])).astype(np.int32), net.end), lay(flat, net.end)
+    fresh, live = lay(first, False), lay(np.ones(len(flat), bool), False)
+    h = np.zeros((lanes, HIDDEN), np.float32)
+    for s in range(0, steps, WINDOW):
+        part = slice(s, s + WINDOW)
+        g = np.zeros_like(w)
+        h = train_window(net, p, x[part], y[part], live[part], h, net.parts(g), fresh[part])
+        g /= max(int(live[part].sum()), 1)
+        square = 0.95 * square + 0.05 * g * g
+        turn += 1
+        w -= rate * g / (np.sqrt(square / (1 - 0.95**turn)) + 1e-4)
+    return w, len(flat)
 
 
 def _teach(model, rate: float):
@@ -236,15 +236,15 @@ def _teach(model, rate: float):
     return run
 
 
-def score_texts(net: Network, weights: np.ndarray, texts: list[np.ndarray], limit: int = 4096) -> np.ndarray:
+def score_texts(net: Network, weights: np.ndarray, texts: list[np.ndarray], limit: int = 16384) -> np.ndarray:
     """Natural log-probability of each text (word ids with the end), without the share of words inside `rare`."""
     p = net.parts(weights)
     out = np.zeros(len(texts))
     size = np.array([len(t) for t in texts])
     flat, begin = np.concatenate(texts), np.append(0, np.cumsum(size))[:-1]
     order = np.argsort(-size, kind="stable")
-    for lo in range(0, len(order), 1024):
-        lanes = order[lo : lo + 1024]
+    for lo in range(0, len(order), SCORED_LANES):
+        lanes = order[lo : lo + SCORED_LANES]
         lens, at = size[lanes], begin[lanes]
         # lanes fall by length, so the live ones come first
         live = np.searchsorted(-lens, -np.arange(1, lens[0] + 1), side="right")
@@ -267,11 +267,24 @@ def score_texts(net: Network, weights: np.ndarray, texts: list[np.ndarray], limi
     return out
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], limit: int = SCORED_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches put together up to a size; a larger batch stays alone."""
+    held, size = [], 0
+    for b in batches:
+        if held and size + b.nbytes > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _scan(model, extra: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, weights, ids, logs = model.value  # logs: log10(c + 1) by place, and 0 for unknown words
         none = len(ids)
-        for part in batches:
+        for part in _gathered(batches):
             coded, rare, sizes = [], [], [0]
             for t in part.column(len(extra)).to_pylist():
                 ws = words(t or b"")
