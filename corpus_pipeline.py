@@ -10,6 +10,8 @@ from corridora.llm.common import table, written
 
 #: Documents whose predicted language has a lower posterior probability are rejected, as are those without a letter.
 MIN_LANGUAGE_SCORE = 0.5
+#: Similarity of word shingles, in per cent, from which documents are near copies; op9 alone has 85.
+NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the smallest doc_id."""
-    found = minhash_dedup.near_duplicates(spark, docs)
+    found = minhash_dedup.near_duplicates(spark, docs, NEAR_PERCENT)
     gone = written(spark, found.where("not kept").select("doc_id").distinct(), "near-copies")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

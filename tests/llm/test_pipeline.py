@@ -107,3 +107,15 @@ def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_dedup_links_from_80_percent(spark):
+    rng = random.Random(12)
+    rows, gone = [], set()
+    for n in [49, 54, 48] * 5:  # one word changed in the middle: 40 of 50 shingles are shared, 45 of 55, and 39 of 49
+        w = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(n)]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join([*w[: n // 2], "other", *w[n // 2 + 1 :]]))]
+        gone |= {len(rows) - 1} if n > 48 else set()
+    docs = spark.createDataFrame([(d, t, "aa", "s", len(t)) for d, t in rows], SCHEMA).repartition(3)
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert left == {d for d, _ in rows} - gone
