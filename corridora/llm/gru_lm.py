@@ -4,8 +4,8 @@ Words that are frequent in the training rows (HEAD of them at most) have an inpu
 about equal frequency; the output is class-factored: a softmax over classes, then one over the words of the class. All
 other words share a class, `rare`, inside which a word has its smoothed frequency, so every text has a proper
 probability. The output biases start at the words' frequencies. Training is truncated back-propagation over windows,
-on a fixed share of the training rows (by hash, so it grows with the input), in rounds: each task goes on from the
-common weights over its own rows, and the weights are averaged, weighted by tokens. A task's texts are one stream, cut
+on all training rows, in rounds: each task goes on from the common weights over its own rows, and the weights are
+averaged, weighted by tokens. A task's texts are one stream, cut
 into lanes of one length; the state is carried from window to window and cleared where a text begins. Scoring runs
 whole documents side by side and carries the hidden state from window to window to the document's end.
 
@@ -40,7 +40,6 @@ WINDOW = 16  # steps of truncated back-propagation
 LANES = 32  # pieces of the stream of texts side by side in training
 SCORED_BYTES = 16 << 20  # of texts scored side by side
 SCORED_LANES = 4096
-SHARE = 48  # one training row in so many teaches the network
 ROUNDS = 2
 RATE = 0.01
 _END = b""  # no word is empty
@@ -323,10 +322,9 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out, key: str = "
     net = Network(known[:HEAD], head_n, rare)
 
     weights = net.weights
-    chosen = teach.where(F.pmod(F.xxhash64("text", "_key"), F.lit(SHARE)) == 0).select("text")
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast((net, weights, ids))
-        mean = chosen.mapInArrow(_teach(shared, RATE / (1 + k)), "at int, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+        mean = teach.select("text").mapInArrow(_teach(shared, RATE / (1 + k)), "at int, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
         if len(mean):
             weights = mean.sort_values("at")["x"].to_numpy(np.float32)
 

@@ -151,6 +151,26 @@ def test_scores_equal_brute_force(spark):
     assert all(r.score < 0 for r in got.collect())
 
 
+def test_all_training_rows_teach(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randint(1, 40))) for i in range(30)]
+    from pyspark.sql import functions as F
+
+    got = gru_lm.score_documents(spark, frame(spark, rows).coalesce(1).orderBy("doc_id").coalesce(1), F.col("doc_id") % 7 == 2).collect()
+    taught = [t.encode() for d, t in rows if d % 7 != 2]
+    count = collections.Counter(w for t in taught for w in [*gru_lm.words(t), b""])
+    top = sorted(count, key=lambda w: (-count[w], w))
+    assert len(top) < gru_lm.HEAD
+    net, ids = gru_lm.Network(top, [count[w] for w in top], 1), {w: i for i, w in enumerate(top)}
+    w, coded = net.weights, lambda t: np.minimum(gru_lm.encode(ids, gru_lm.words(t)), net.rare)
+    for k in range(gru_lm.ROUNDS):
+        w = gru_lm.train_rows(net, w, [coded(t) for t in taught], gru_lm.RATE / (1 + k))[0]
+    want = gru_lm.score_texts(net, w, [coded(t.encode()) for _, t in rows]) / math.log(10)
+    plain = gru_lm.score_texts(net, net.weights, [coded(t.encode()) for _, t in rows]) / math.log(10)
+    have = [r.score for r in sorted(got, key=lambda r: r.doc_id)]
+    assert np.allclose(have, want, rtol=1e-4) and not np.allclose(have, plain, rtol=1e-4)
+
+
 def test_url_rules(spark):
     urls = {
         "https://a.Example.COM/en/77?x": ("example.com/en/7", "allow"), "http://x.com/en/1": ("com/en/", "allow"), "http://example.net/de/81": ("example.net/de/8", "block"),
