@@ -182,6 +182,20 @@ def test_url_rules(spark):
     assert got == urls
 
 
+def test_each_alternative_of_a_url_pattern_blocks(spark):
+    rng = random.Random(7)
+    pieces = ["cart", "checkout", "add", "address", "added", "add2", "wp-admin", "wp-login", "print", "12", "casino.", "www.casino.x", "?replytocom=1", "&phpsessid=2", "?jsessionid=3", ";jsessionid=4", "?page=1&ref=2", "&utm_source=feed", "#", "?sort=asc", "&sort=desc", ".exe", ".msi", ".apk", ".MSI", ".exes", "x"]
+    urls = [f"http://h.info/{a}{gap}{b}" for a in pieces for b in pieces for gap in ("", "/")] + ["http://www.casino.x/", "https://CASINO.x/"]
+    urls += ["http://h.info/" + "/".join(rng.choices(pieces, k=rng.randint(3, 6))) for _ in range(300)]
+    got = url_filter.filter_urls(spark, spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    met = {p: {u for u in urls if re.search(p, u.lower())} for p, _ in url_filter.PATTERNS}
+    assert all(met.values()) and {urls[r.page_id] for r in got if r.verdict == "block"} == set().union(*met.values())
+    # as the only rule too: none is met by way of another
+    for p, tokens in url_filter.PATTERNS:
+        judge = url_filter.filter_urls(spark, spark.createDataFrame([(i, u) for i, u in enumerate(urls) if u in met[p]][:80], "page_id long, url string"), rules=[], patterns=[(p, tokens)])
+        assert judge.where("verdict <> 'block'").count() == 0, p
+
+
 def test_lookup_table_is_balanced_and_stable():
     names = sharding.shard_names(50)
     table = sharding.lookup_table(names, 5003)
