@@ -470,6 +470,38 @@ def _floor_lattice(spark, sf):
     return e.where("f1 = f2").select(F.col("f1").alias("floor"), "src", "dst", F.sqrt("d2").alias("weight"))
 
 
+def _floor_graph(spark, sf):
+    """Bands of ten lattice rows as floors: edges (floor, src, dst, weight) and nodes (floor, id, kind, x, y, anchor)."""
+
+    def banded(name, kind, where="true"):
+        # bands lie farther apart than any radius, so no join reaches from one into another
+        floor = F.floor(F.col("y") / 200)
+        return view(spark, sf, name).where(where).select("id", "x", (F.col("y") + floor * 1000).alias("y"), floor.alias("floor"), F.lit(kind).alias("kind"))
+
+    anywhere = 450  # the diagonal of a band
+    lattice, halls, rooms, transitions = banded("v_lattice", "corridor"), banded("v_halls", "corridor"), banded("v_rooms", "room"), banded("v_transitions", "transition")
+    r2c, c2c, exits = (banded("v_doors", k, f"subtype = '{s}'") for s, k in (("r2c", "door"), ("c2c", "door"), ("exit", "exit")))
+    ways = [spatial.knn_join(rows, lattice, radius, k) for rows, radius, k in ((r2c, 100, 1), (exits, 100, 1), (c2c, 100, 4), (halls, 200, 4))]
+    doors = r2c.join(ways[0].select(F.col("l_id").alias("id")), "id", "left_semi")
+    for rows in (rooms, transitions):
+        met = spatial.radius_join(rows.select("id", "x", "y"), doors.select("id", "x", "y"), 40)
+        ways += [met, spatial.knn_join(rows.join(met.select(F.col("l_id").alias("id")), "id", "left_anti"), lattice, anywhere, 1)]
+    links = [w.select("l_id", "r_id", "d2") for w in ways]
+    joined = links[0]
+    for w in links[1:]:
+        joined = joined.unionByName(w)
+    near = spatial.knn_join(rooms, doors, 120, 1).select(F.col("l_id").alias("id"), F.col("r_id").alias("door"))
+    place = spatial.knn_join(rooms, lattice, anywhere, 1).select(F.col("l_id").alias("id"), F.col("r_id").alias("node"))
+    anchored = rooms.join(near, "id", "left").join(place, "id", "left").select(*rooms.columns, F.coalesce("door", "node").alias("anchor"))
+    nodes = anchored
+    for rows in (lattice, halls, transitions, r2c, c2c, exits):
+        nodes = nodes.unionByName(rows.withColumn("anchor", F.lit(None).cast("string")))
+    at = nodes.select(F.col("id").alias("l_id"), "floor")
+    attached = joined.join(at, "l_id").select("floor", F.least("l_id", "r_id").alias("src"), F.greatest("l_id", "r_id").alias("dst"), F.sqrt("d2").alias("weight"))
+    own = _floor_lattice(spark, sf).select("floor", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
+    return own.unionByName(attached), nodes
+
+
 _OCTILE = "20.0 * (greatest(dx, dy) - least(dx, dy)) + 20.0 * sqrt(2.0) * least(dx, dy)"
 
 
@@ -493,12 +525,16 @@ def route_info(spark, sf):
 
 @query()
 def route_paths(spark, sf):
-    return paths.routes(_floor_lattice(spark, sf), _pairs(spark, sf)).select("floor", "source", "target", F.posexplode("path").alias("step", "node"))
+    """The ways between all rooms of a floor, and from each room to every transition."""
+    edges, nodes = _floor_graph(spark, sf)
+    ends = nodes.where("kind IN ('room', 'transition')").select("floor", F.col("id").alias("target"), F.col("kind").alias("to"))
+    pairs = nodes.where("kind = 'room'").select("floor", F.col("id").alias("source")).join(ends, "floor").where("to = 'transition' OR source < target").drop("to")
+    return paths.routes(edges, pairs).select("floor", "source", "target", F.posexplode("path").alias("step", "node"))
 
 
 @query()
 def prune_keep_edges(spark, sf):
-    return paths.prune_to_routes(_floor_lattice(spark, sf), _pairs(spark, sf))
+    return paths.prune_web(*_floor_graph(spark, sf))
 
 
 _G07 = "SELECT src, dst, distance, CASE WHEN weight IS NULL OR weight = 1 THEN distance ELSE weight END AS weight FROM (SELECT src, dst, round(sqrt(d2), 4) AS distance, CASE d2 WHEN 400 THEN CAST(NULL AS DOUBLE) ELSE 1.0 END AS weight FROM e) q"

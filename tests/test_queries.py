@@ -92,3 +92,48 @@ def test_pruning_keeps_distances(spark):
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "id long, x long, y long")
     assert spatial.radius_join(none, none, 5).count() == 0 and spatial.nearest_any(none, none).count() == 0
+
+
+def test_prune_keeps_what_rooms_exits_and_transitions_need(spark):
+    from corridora.operators import paths
+
+    sf = SF.replace("0.001", "0.01")
+    edges, nodes = (x.toPandas() for x in catalog._floor_graph(spark, sf))
+    kept = catalog.QUERIES["prune_keep_edges"](spark, sf).toPandas()
+    assert 0 < len(kept) < len(edges) and not kept.duplicated(["src", "dst"]).any()
+    corridor = set(nodes.loc[nodes["kind"] == "corridor", "id"])
+    pairs = 0
+    for floor, n in nodes.groupby("floor"):
+        of = {k: list(v) for k, v in n.groupby("kind")["id"]}
+        full, web = (paths.adjacency(e[e["floor"] == floor]) for e in (edges, kept))
+        reached = {}
+        for r in of.get("room", []):
+            old, way = paths.dijkstra(full, r)
+            new = paths.dijkstra(web, r)[0]
+            for t in [*of["room"], *of.get("transition", []), *n.loc[n["id"] == r, "anchor"].dropna()]:
+                if t in old:
+                    assert new[t] <= old[t] + 1e-6  # a transition that is attached anew may be nearer
+                    pairs += 1
+            for t in of.get("exit", []):
+                if t in old:
+                    reached[t] = min(reached.get(t, (9e9, 9e9)), (len(paths.path_to(way, r, t)), round(old[t], 6)))
+                    assert t in new
+        for t, (_, d) in reached.items():
+            assert min(paths.dijkstra(web, t)[0].get(r, 9e9) for r in of["room"]) <= d + 1e-6
+        if any(v in corridor for v in web):
+            assert all(any(v in corridor for v, _ in web[t]) for t in of.get("transition", []))
+    assert pairs > 1000
+
+
+def test_prune_of_a_small_floor(spark):
+    edges = [("a", "c1", 2.0), ("c1", "c2", 2.0), ("b", "c2", 2.0), ("a", "b", 9.0), ("c2", "c3", 2.0), ("c3", "e", 2.0), ("c3", "c4", 2.0), ("c4", "c5", 2.0), ("d", "b", 1.0), ("d", "t", 1.0)]
+    places = {"a": (0, 0), "b": (6, 0), "c1": (2, 0), "c2": (4, 0), "c3": (4, 2), "c4": (4, 4), "c5": (4, 6), "d": (7, 0), "e": (6, 2), "t": (8, 0), "u": (4, 7)}
+    kind = lambda v: {"a": "room", "b": "room", "e": "exit", "t": "transition", "u": "transition", "d": "door"}.get(v, "corridor")
+    e = spark.createDataFrame([(1, *x) for x in edges], "floor long, src string, dst string, weight double")
+    n = spark.createDataFrame([(1, v, kind(v), x, y, None) for v, (x, y) in places.items()], "floor long, id string, kind string, x long, y long, anchor string")
+    from corridora.operators import paths
+
+    got = {(r.src, r.dst): r.weight for r in paths.prune_web(e, n).collect()}
+    # rooms a-c1-c2-b, exit from b (as many steps from a are more), t over the door and then to c2, u anew to c3
+    want = {("a", "c1"): 2, ("c1", "c2"): 2, ("b", "c2"): 2, ("c2", "c3"): 2, ("c3", "e"): 2, ("b", "d"): 1, ("d", "t"): 1, ("c2", "t"): 4, ("c3", "u"): 5}
+    assert got == want
