@@ -98,7 +98,7 @@ def signatures() -> list[tuple[int, str, str, str]]:
 
 def gate_words() -> list[str]:
     """Strings of which any match holds one, for the first look at a text."""
-    return ["licen", "cc", "creative commons", "gpl", "mpl", "epl", "eupl", "cddl", "lppl", "odbl", "bsd", "fdl", "rights reserved", "proprietary and", "unauthorized copying", "permission", "redistribution", "neither the name", "free software", "provided", "public domain", "spdx", "unencumbered", "apache"]
+    return ["licen", "cc", "creative commons", "gpl", "mpl", "epl", "eupl", "cddl", "lppl", "odbl", "bsd", "fdl", "rights reserved", "proprietary and", "unauthorized copying", "permission", "redistribution", "neither the name", "free software", "provided", "public domain", "spdx", "unencumbered", "apache", "wtfpl"]
 
 
 def _spaces(s: Column) -> Column:

@@ -252,6 +252,24 @@ def test_licenses(spark):
     assert len(licenses.signatures()) > 150 and all(re.compile(r) for _, _, r, _ in licenses.signatures())
 
 
+def test_a_least_match_of_each_license_signature_is_found(spark):
+    def least(tree):
+        """A shortest text that the parsed expression matches, with the first of its alternatives."""
+        out = ""
+        for op, arg in tree:
+            op = str(op)
+            out += (
+                chr(arg) if op == "LITERAL" else "x" if op == "NOT_LITERAL" else least(arg[3]) if op == "SUBPATTERN" else least(arg[1][0]) if op == "BRANCH"
+                else least(arg[2]) * arg[0] if op == "MAX_REPEAT" else "x" if str(arg[0][0]) == "NEGATE" else chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
+            )
+        return out
+
+    texts = {i: least(re._parser.parse(regex)) for i, _, regex, _ in licenses.signatures()}
+    assert all(re.fullmatch(regex, texts[i]) for i, _, regex, _ in licenses.signatures())
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, [*texts.items()])).collect()}
+    assert [texts[i] for i in texts if not got[i].labels or got[i].score <= 0] == []
+
+
 def test_boundaries_are_optimal():
     rng = random.Random(6)
     for _ in range(30):
