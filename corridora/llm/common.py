@@ -7,27 +7,45 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.storage import discard, shared_dir, written  # noqa: F401
 
 #: Bytes of text that one Python step holds at a time; a longer document makes a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Bytes of an Arrow batch; a longer row makes a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, so that a batch of long documents fits beside the executor's heap."""
+    """Small Arrow batches, by rows and by bytes, so that a batch of long documents fits beside the executor's heap."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input files for each part of a shuffle, where the session's number of partitions makes larger ones.
+PART_BYTES = 32 << 20
+
+
+def partitions(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """Parts of a shuffle: the session's number, or more where df reads more files than that."""
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) if df is not None else 0
+    return max(n, -(-size // PART_BYTES)) if size < 1 << 52 else n  # a size that is not known is given as a larger one
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bundled(df: DataFrame, name: str, leave: tuple[str, ...] = ()) -> DataFrame:
+    """One struct column of all columns but those in `leave`, and those; so no other column's name can clash."""
+    rest = [c for c in df.columns if c not in leave]
+    whole = F.struct(*[df[f"`{c}`"].alias(c) for c in rest]) if rest else F.lit(None).cast("string")
+    return df.select(*[df[f"`{c}`"] for c in leave], whole.alias(name))
+
+
 def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a binary Arrow column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bundled, written
 
 WINDOW = 8  # a power of two: hashes are doubled up
 LITERALS = 5
@@ -112,4 +112,6 @@ def find_leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame, min_windo
 def drop_leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of docs that leak no item, with all columns."""
     bad = find_leaks(spark, docs, bench).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    return docs.join(bad, (F.xxhash64(docs["text"]) == F.col("_h")) & docs["doc_id"].eqNullSafe(F.col("_d")), "left_anti")
+    rows = bundled(docs, "row")
+    kept = rows.join(bad, (F.xxhash64("row.text") == F.col("_h")) & F.col("row.doc_id").eqNullSafe(F.col("_d")), "left_anti")
+    return kept.select("row.*")

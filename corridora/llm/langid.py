@@ -6,7 +6,9 @@ log-probability matrix (languages x buckets, a parameter) is broadcast, and each
 matrix product in numpy: a gather of the grams' rows, summed by document.
 
 Nulls and edge cases: a null text, or one without a letter, is `und` with score 0; rows with a null label do not teach;
-ties go to the language that sorts first; with no labelled row everything is `und`; other columns are not read.
+ties go to the language that sorts first; repeated rows are judged each; a very long text is one block of work; with no
+labelled row everything is `und`; an empty table gives no rows. Other columns are carried along in one struct, so their
+names cannot clash.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import session, text_blocks
+from .common import bundled, session, text_blocks
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -97,10 +99,17 @@ def train(spark: SparkSession, labelled: DataFrame, text: str, lang: str, bucket
     return langs, np.hstack([logp, np.zeros((len(langs), 1))]), np.log(np.maximum(rows_of, 1) / max(rows_of.sum(), 1))
 
 
-def _score(model, extra: list[str]):
+def _score(model, place: int | None):
+    """Rows of (row struct, text) or, with a place, of (row struct) whose field at that place is the text."""
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = b.column(1) if place is None else b.column(0).field(place)
+            yield pa.RecordBatch.from_arrays([b.column(0), text], names=["row", "text"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logp, prior = model.value
-        for part, raw, off in text_blocks(batches, "_text", _BLOCK):
+        for part, raw, off in text_blocks(texts(batches), "text", _BLOCK):
             n = len(off) - 1
             pred, score = np.full(n, len(langs)), np.zeros(n)
             if langs and len(raw):
@@ -117,18 +126,27 @@ def _score(model, extra: list[str]):
                 pred[has] = best[has]
                 score[has] = (1 / np.exp(like - like.max(1, keepdims=True)).sum(1))[has]
             names = np.array([*langs, UND], dtype=object)
-            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(extra))], pa.array(names[pred], pa.string()), pa.array(score, pa.float64())], names=[*extra, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[pred], pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
     return run
 
 
+def judged(spark: SparkSession, docs: DataFrame, model, text: str = "text") -> DataFrame:
+    """(row, lang_pred, score): each row whole as a struct, with its language. Its text goes to Python once."""
+    session(spark)
+    shared = spark.sparkContext.broadcast(model)
+    rows = bundled(docs, "row")
+    return rows.mapInArrow(_score(shared, docs.columns.index(text)), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+
+
 def predict(spark: SparkSession, docs: DataFrame, model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` with lang_pred and score, for each row."""
+    """The columns `keep` with lang_pred and score, for each row; a kept column with one of these two names is left out."""
     session(spark)
-    keep = keep or ["doc_id"]
+    keep = [c for c in keep or ["doc_id"] if c not in ("lang_pred", "score")]
     shared = spark.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text).cast("binary").alias("_text")).mapInArrow(_score(shared, keep), f"{kinds}, lang_pred string, score double")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in keep]).alias("row"), F.col(text).cast("binary").alias("text"))
+    got = rows.mapInArrow(_score(shared, None), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    return got.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], "lang_pred", "score")
 
 
 def fold(key: str, n: int) -> Column:

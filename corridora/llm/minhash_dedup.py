@@ -2,8 +2,8 @@
 
 Two collections of SIDE small bands each (BAND minhashes a band) stand for SIDE * SIDE tables: the key of table (i, j)
 is the pair of band i of the first and band j of the second collection, so 2 * SIDE * BAND minhashes do the work of
-SIDE * SIDE * 2 * BAND. With 14 bands of 4 a pair at similarity 0.85 meets in some table with probability 0.9999,
-one at 0.80 with 0.9987.
+SIDE * SIDE * 2 * BAND. With 14 bands of 4 a pair at similarity 0.80 meets in some table with probability 0.9987,
+one at 0.85 with 0.9999.
 
 1. One pass makes each document's set of distinct shingles, its digest and its bands. Equal sets are one class.
 2. Classes that share a table key are linked to the least of them (a star, not all pairs); a task first combines its
@@ -14,7 +14,8 @@ one at 0.80 with 0.9987.
 
 Nulls and edge cases: null and blank texts have no shingle and are linked with nothing; with fewer than five words the
 whole sequence is the one shingle; rows with a null doc_id take no part (null component, kept); rows that repeat a
-doc_id are one vertex; an empty table gives no rows; other columns are ignored.
+doc_id are one document: one vertex, linked by any of its texts; a component is named by its smallest doc_id; a very
+long text is one block of work; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +31,15 @@ from ..plans.components import connected_components
 from .common import partitions, session, text_arrays, text_blocks, written
 
 WORDS = 5
-PERCENT = 85
+PERCENT = 80
 SIDE = 14
 BAND = 4
 #: Shingles of a block of a rough group.
 BLOCK_SHINGLES = 2_000_000
 #: Documents that a task holds before it combines their keys.
-FLUSH = 100_000
+FLUSH = 30_000
+#: Cells of a table of shared shingles, and postings, that are looked at together.
+CELLS = 1_000_000
 _DOC_BITS = 10
 
 _rng = np.random.default_rng(97531)
@@ -231,7 +234,7 @@ def linked(sets: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
     column = np.full(len(u), -1)
     column[dense] = np.arange(len(dense))
     row_at = np.searchsorted(owner, np.arange(m + 1))
-    step = max(1, min(512, 4_000_000 // m))
+    step = max(1, min(512, CELLS // m))
     for a in range(0, m, step):
         b = min(m, a + step)
         mine = slice(row_at[a], row_at[b])
@@ -239,7 +242,7 @@ def linked(sets: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
         count = np.zeros((b - a) * m, np.float32)
         rare = column[terms] < 0
         reps = freq[terms[rare]]
-        for lo, hi in _chunks(reps, 8_000_000):
+        for lo, hi in _chunks(reps, CELLS):
             t, r = terms[rare][lo:hi], rows[rare][lo:hi]
             k = reps[lo:hi]
             place = np.repeat(begin[t] - np.append(0, np.cumsum(k)[:-1]), k) + np.arange(k.sum())
@@ -313,7 +316,7 @@ def _verify(percent: int):
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row; component_id is the smallest doc_id reachable over links."""
     session(spark)
-    n = partitions(spark)
+    n = partitions(spark, docs)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = written(spark, d.mapInArrow(_signatures, "doc_id long, n_shingles long, d1 long, d2 long, bands binary"), "signatures")
     classes = rows.where("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))

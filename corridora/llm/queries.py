@@ -44,7 +44,7 @@ def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tensored_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return minhash_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), percent=85)
 
 
 def op10_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,15 +9,25 @@ How equal strings meet without one global array:
    so equal windows lie in segments of the same minimiser. A segment is a run of windows with one minimiser.
 2. Each task sends, for each distinct segment content, only its first occurrence (map-side combine: a passage that a
    third of all documents share is sent once per task); its later occurrences are whole repeats already.
-3. By minimiser, the first occurrence over all tasks stays; the others are whole repeats.
+3. By minimiser, the first occurrence over all tasks stays; the others are whole repeats. A minimiser of which a task
+   holds more than MANY contents is hot there: its segments go out by minimiser and content, to many tasks, and the
+   minimiser's own task is told, so that it takes the segments which other tasks sent it for hot too.
 4. Minimisers with several distinct segment contents (the rims of passages, edited copies) go, with their bytes, into
    an enhanced suffix array: ranks by prefix doubling, longest common prefixes by the ladder of ranks, a stack scan
    that yields the common-prefix intervals, of which the left-diverse ones are the maximal repeats, with all
    occurrences. All occurrences of a group but the first are removed.
+5. Segments of hot minimisers, and of those with more bytes than half an array, are cut finer before that: a window
+   stands at some distance from the next occurrence of its minimiser, STEP distances make a piece, and all windows of
+   a piece cover some bytes in common. Equal windows agree on minimiser, piece and those bytes, so their hash is the
+   key by which pieces meet, in arrays of their own, spread over all tasks. Of pieces with one content each task again
+   sends the first. What is still too much for an array differs in fewer than STEP bytes at either end; there, each
+   window is compared by its hash.
 
 Nulls and edge cases: a null text is empty; documents under `length` bytes keep everything; rows with a null doc_id
 take no part and are kept whole; rows that repeat a doc_id are one document for the order, so that a span removed in
-one is removed in each (clipped to its length); an empty table gives no rows; other columns are ignored.
+one is removed in each (clipped to its length); of equal strings the one in the smaller doc_id, then at the earlier
+place, stays; a very long text is worked through as one block; an empty table gives no rows; other columns are ignored,
+or carried along where `keep` names them, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,14 +40,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, session, text_arrays, text_blocks, written
+from .common import partitions, session, text_arrays, text_blocks, written
 
 LENGTH = 100
 GRAM = 16
 #: Segments that a task holds before it combines and sends them.
-FLUSH = 1_000_000
-#: Bytes of one suffix array; a minimiser with more bytes than that makes a larger one.
-ARRAY_BYTES = 1 << 20
+FLUSH = 400_000
+#: Bytes of one suffix array; it takes about 130 times as many to build.
+ARRAY_BYTES = 1 << 19
+#: Contents of one minimiser in a task's segments above which it is hot.
+MANY = 256
+#: Distances from the minimiser that make a piece of a hot segment.
+STEP = 4
+#: Bytes of pieces that a task holds before it combines and sends them.
+PIECE_BYTES = 4 << 20
 SYMBOLS = 7  # of 9 bits in a word of the first rank
 
 _TAB = np.random.default_rng(20240229).integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,11 +89,19 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def range_hash(raw: np.ndarray):
+    """A function (starts, ends) -> hashes of those byte ranges, equal for equal bytes wherever they stand."""
+    total, back = np.zeros(len(raw) + 1, np.uint64), _powers(_INV, len(raw) + 1)
+    np.cumsum(_TAB[raw] * _powers(_BASE, len(raw)), dtype=np.uint64, out=total[1:])
+    return lambda start, end: _mix((total[end] - total[start]) * back[start]) ^ (end - start).astype(np.uint64)
+
+
 def segments(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(document index, start in the document, bytes, minimiser, content hash) of each segment of a block."""
     n = len(raw) - length + 1
+    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if n <= 0:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return none
     least = _slide_min(_gram_hashes(raw), length - GRAM + 1)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
     valid = doc[:n] == doc[length - 1 :]
@@ -85,14 +109,34 @@ def segments(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     new[1:] &= (least[1:] != least[:-1]) | (doc[1:n] != doc[: n - 1]) | ~valid[:-1]
     start = np.flatnonzero(new)
     if not len(start):
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return none
     last = np.flatnonzero(valid & np.append(~valid[1:], True))
     end = np.minimum(np.append(start[1:] - 1, n - 1), last[np.searchsorted(last, start)]) + length
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_TAB[raw] * _powers(_BASE, len(raw)), dtype=np.uint64, out=total[1:])
-    content = _mix((total[end] - total[start]) * _powers(_INV, len(raw) + 1)[start]) ^ (end - start).astype(np.uint64)
     d = doc[start]
-    return d, start - off[d], end - start, least[start], content
+    return d, start - off[d], end - start, least[start], range_hash(raw)(start, end)
+
+
+def pieces(raw: np.ndarray, start: np.ndarray, end: np.ndarray, minimiser: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(segment index, start, bytes, key, content hash) of the pieces of segments of a block, each of STEP windows at most."""
+    grams, hashed = _gram_hashes(raw), range_hash(raw)
+
+    def laid(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        which = np.repeat(np.arange(len(n)), n)
+        return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[which]
+
+    which, at = laid(end - start - GRAM + 1)
+    hit = np.flatnonzero(grams[at] == minimiser[which])
+    first = np.cumsum(end - start - GRAM + 1) - (end - start - GRAM + 1)
+    which, w = laid(end - start - length + 1)
+    anchor = at[hit[np.searchsorted(hit, first[which] + w - start[which])]]  # the next occurrence, which the window holds
+    piece = (anchor - w) // STEP
+    new = np.append(True, (which[1:] != which[:-1]) | (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1]))
+    begin = np.flatnonzero(new)
+    last = np.append(begin[1:], len(w)) - 1
+    which, w, stop, anchor, piece = which[begin], w[begin], w[last] + length, anchor[begin], piece[begin]
+    common = anchor - piece * STEP
+    key = _mix(minimiser[which] * np.uint64(_BASE) + hashed(common, common - STEP + 1 + length) + piece.astype(np.uint64))
+    return which, w, stop - w, key, hashed(w, stop)
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -119,6 +163,32 @@ def _blob_batch(parts: dict[int, dict[str, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(cols)
 
 
+def _firsts(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, whether a group of equal keys begins, the group's first entry) of entries by keys, then by place."""
+    o = np.lexsort((start, doc, *keys[::-1]))
+    new = np.zeros(len(o), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[o[1:]] != k[o[:-1]]
+    return o, new, np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
+def _dealt(n_parts: int, *lists: tuple[np.ndarray, dict[str, np.ndarray]]) -> pa.RecordBatch | None:
+    """One row for each part that has something: the columns of each list, cut by its array of parts."""
+    cuts = []
+    for part, cols in lists:
+        o = np.argsort(part, kind="stable")
+        cuts.append((np.searchsorted(part[o], np.arange(n_parts + 1)), {k: v[o] for k, v in cols.items()}))
+    out = {}
+    for p in np.unique(np.concatenate([part for part, _ in lists])).tolist():
+        out[p] = {k: v[cut[p] : cut[p + 1]] for cut, cols in cuts for k, v in cols.items()}
+    return _blob_batch(out) if out else None
+
+
+def _part(key: np.ndarray, n_parts: int) -> np.ndarray:
+    return (key % np.uint64(n_parts)).astype(np.int64)
+
+
 def _scan(length: int, n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -127,26 +197,17 @@ def _scan(length: int, n_parts: int):
         def flush():
             d, s, n, m, c = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            o = np.lexsort((s, d, c, m))
+            o, first, head = _firsts((m, c), d, s)
             d, s, n, m, c = d[o], s[o], n[o], m[o], c[o]
-            first = np.append(True, (m[1:] != m[:-1]) | (c[1:] != c[:-1]))
-            head = np.flatnonzero(first)[np.cumsum(first) - 1]
             again = (d != d[head]) | (s != s[head])
             rd, rs, re = merged(d[again], s[again], (s + n)[again])
-            part = (m[first] % np.uint64(n_parts)).astype(np.int64)
-            o = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[o], np.arange(n_parts + 1))
-            cols = {"m": m[first][o], "c": c[first][o], "d": d[first][o], "s": s[first][o], "n": n[first][o].astype(np.int32)}
-            rpart = rd % n_parts
-            ro = np.argsort(rpart, kind="stable")
-            rcut = np.searchsorted(rpart[ro], np.arange(n_parts + 1))
-            gone = {"rd": rd[ro], "rs": rs[ro], "re": re[ro]}
-            out = {}
-            for p in range(n_parts):
-                a, b, x, y = cut[p], cut[p + 1], rcut[p], rcut[p + 1]
-                if b > a or y > x:
-                    out[p] = {k: v[a:b] for k, v in cols.items()} | {k: v[x:y] for k, v in gone.items()}
-            return _blob_batch(out)
+            d, s, n, m, c = d[first], s[first], n[first], m[first], c[first]
+            at = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
+            kinds = np.diff(np.append(at, len(m)))
+            hot = np.repeat(kinds > MANY, kinds)
+            told = m[at[kinds > MANY]]
+            part = _part(np.where(hot, _mix(m ^ (c * np.uint64(_BASE))), m), n_parts)
+            return _dealt(n_parts, (part, {"m": m, "c": c, "d": d, "s": s, "n": n.astype(np.int32), "hot": hot}), (_part(told, n_parts), {"told": told}), (rd % n_parts, {"rd": rd, "rs": rs, "re": re}))
 
         for rows, raw, off in text_blocks(batches, "text"):
             d, s, n, m, c = segments(raw, off, length)
@@ -175,10 +236,13 @@ def _gathered(batches: Iterator[pa.RecordBatch], kinds: dict) -> dict[str, np.nd
     return {k: np.concatenate(v) if v else np.empty(0, kinds[k]) for k, v in got.items()}
 
 
-def _rows(doc, start, end, minimiser, todo) -> Iterator[pa.RecordBatch]:
+def _rows(doc, start, end, minimiser=None, hot=None) -> Iterator[pa.RecordBatch]:
+    """Spans; those with a minimiser are still to be compared."""
+    todo = minimiser is not None
+    minimiser, hot = (minimiser, hot) if todo else (np.zeros(len(doc), np.uint64), np.zeros(len(doc), bool))
     for i in range(0, len(doc), 200_000):
         j = slice(i, i + 200_000)
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[j], pa.int64()), "s": pa.array(start[j], pa.int64()), "e": pa.array(end[j], pa.int64()), "m": pa.array(minimiser[j].view(np.int64), pa.int64()), "todo": pa.array(np.broadcast_to(todo, len(doc[j])), pa.bool_())})
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[j], pa.int64()), "s": pa.array(start[j], pa.int64()), "e": pa.array(end[j], pa.int64()), "m": pa.array(minimiser[j].view(np.int64), pa.int64()), "todo": pa.array(np.full(len(doc[j]), todo), pa.bool_()), "hot": pa.array(hot[j], pa.bool_())})
 
 
 def _settle(length: int):
@@ -187,54 +251,92 @@ def _settle(length: int):
 
 def _settled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Of one part: whole repeats of a segment go; first occurrences of contested minimisers stay to be compared."""
-    x = _gathered(batches, {"m": np.uint64, "c": np.uint64, "d": np.int64, "s": np.int64, "n": np.int32, "rd": np.int64, "rs": np.int64, "re": np.int64})
-    m, c, d, s, n = (x[k] for k in "mcdsn")
+    x = _gathered(batches, {"m": np.uint64, "c": np.uint64, "d": np.int64, "s": np.int64, "n": np.int32, "hot": bool, "told": np.uint64, "rd": np.int64, "rs": np.int64, "re": np.int64})
+    m, c, d, s, n, hot = (x[k] for k in ("m", "c", "d", "s", "n", "hot"))
     rd, rs, re = [x["rd"]], [x["rs"]], [x["re"]]
     if len(m):
-        o = np.lexsort((s, d, c, m))
-        m, c, d, s, n = m[o], c[o], d[o], s[o], n[o]
-        new_m = np.append(True, m[1:] != m[:-1])
-        first = new_m | np.append(True, c[1:] != c[:-1])
-        head = np.flatnonzero(first)[np.cumsum(first) - 1]
+        o, first, head = _firsts((m, c), d, s)
+        m, c, d, s, n, hot = m[o], c[o], d[o], s[o], n[o], hot[o]
         again = (d != d[head]) | (s != s[head])
         rd.append(d[again]), rs.append(s[again]), re.append((s + n)[again])
-        kinds = np.add.reduceat(first.astype(np.int64), np.flatnonzero(new_m))
+        # a content that some task sent as hot is hot; so is all of a minimiser of which this task was told
+        hot = np.logical_or.reduceat(hot, np.flatnonzero(first))
+        m, d, s, n = m[first], d[first], s[first], n[first].astype(np.int64)
+        at = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
+        kinds = np.diff(np.append(at, len(m)))
+        hot |= np.isin(m, x["told"]) | np.repeat((np.add.reduceat(n, at) > ARRAY_BYTES // 2) & (kinds > 1), kinds)
         # a segment longer than the windows around one place repeats its minimiser, and may repeat inside itself
-        todo = first & ((kinds > 1)[np.cumsum(new_m) - 1] | (n > 2 * length - GRAM))
-        yield from _rows(d[todo], s[todo], (s + n)[todo], m[todo], True)
-    rd, rs, re = merged(np.concatenate(rd), np.concatenate(rs), np.concatenate(re))
-    yield from _rows(rd, rs, re, np.zeros(len(rd), np.uint64), False)
+        todo = hot | np.repeat(kinds > 1, kinds) | (n > 2 * length - GRAM)
+        yield from _rows(d[todo], s[todo], (s + n)[todo], m[todo], hot[todo])
+    yield from _rows(*merged(np.concatenate(rd), np.concatenate(rs), np.concatenate(re)))
 
 
-def _cut_out(n_parts: int):
-    """The bytes of contested segments, by part of their minimiser."""
+def _cut_out(length: int, n_parts: int):
+    """The bytes of contested segments, and of the pieces of hot ones, by part of their key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def flush():
+            key, c, d, s, n = (np.concatenate(x) for x in list(zip(*held))[:5])
+            raw = np.concatenate([x[5] for x in held])
+            held.clear()
+            base = np.cumsum(n) - n
+            o, first, head = _firsts((key, c), d, s)
+            again = (d[o] != d[o][head]) | (s[o] != s[o][head])
+            gone = merged(d[o][again], s[o][again], (s + n)[o][again])
+            o = o[first]
+            key, d, s, n, base = key[o], d[o], s[o], n[o], base[o]
+            # bytes have a list of their own: one part for each byte, in the order of the segments
+            part = _part(key, n_parts)
+            order = np.argsort(part, kind="stable")
+            key, d, s, n, base, part = key[order], d[order], s[order], n[order], base[order], part[order]
+            flat = raw[np.repeat(base - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            return _dealt(n_parts, (part, {"m": key, "d": d, "s": s, "n": n}), (np.repeat(part, n), {"b": flat}), (gone[0] % n_parts, dict(zip(("rd", "rs", "re"), gone))))
+
         for rows, raw, off in text_blocks(batches, "text"):
             ids = rows.column(0).to_numpy(zero_copy_only=False)
             lists = rows.column(rows.schema.get_field_index("todo"))
             cnt = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
-            s, e, m = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            s, e, m, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             r = np.repeat(np.arange(len(ids)), cnt)
             ok = (off[r] + e) <= off[r + 1]  # rows that repeat a doc_id may be shorter
-            s, e, m, r = s[ok], e[ok], m[ok].view(np.uint64), r[ok]
-            part = (m % np.uint64(n_parts)).astype(np.int64)
-            o = np.argsort(part, kind="stable")
-            s, e, r, part = s[o], e[o], r[o], part[o]
-            cut = np.searchsorted(part, np.arange(n_parts + 1))
-            out = {}
-            for p in np.unique(part):
-                k = slice(cut[p], cut[p + 1])
-                ln = e[k] - s[k]
-                at = np.repeat(off[r[k]] + s[k] - np.append(0, np.cumsum(ln)[:-1]), ln) + np.arange(ln.sum())
-                out[int(p)] = {"m": m[o][k], "d": ids[r[k]], "s": s[k], "n": ln, "b": raw[at]}
-            if out:
-                yield _blob_batch(out)
+            s, e, m, hot, r = s[ok], e[ok], m[ok].view(np.uint64), hot[ok], r[ok]
+            for some in (~hot, hot):
+                if not some.any():
+                    continue
+                sr, ss, se, sm = r[some], (off[r] + s)[some], (off[r] + e)[some], m[some]
+                if some is hot:
+                    which, ss, n, key, c = pieces(raw, ss, se, sm, length)
+                    sr = sr[which]
+                else:
+                    # cold segments are first occurrences, so no two of a key have one content: their places stand for it
+                    n, key, c = se - ss, sm, _mix(ids[sr].astype(np.uint64) * np.uint64(_BASE) + s[some].astype(np.uint64))
+                for i, j in _spans(n, PIECE_BYTES):
+                    p = slice(i, j)
+                    got = raw[np.repeat(ss[p] - (np.cumsum(n[p]) - n[p]), n[p]) + np.arange(n[p].sum())]
+                    held.append((key[p], c[p], ids[sr[p]], ss[p] - off[sr[p]], n[p], got))
+                    size += len(got)
+                    if size >= PIECE_BYTES:
+                        size = 0
+                        yield flush()
+        if held:
+            yield flush()
 
     return run
 
 
+def _spans(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of entries whose sizes add up to the limit at most, or of one entry."""
+    total, i = np.append(0, np.cumsum(sizes)), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + limit, side="right")) - 1)
+        yield i, j
+        i = j
+
+
 def suffix_intervals(raw: np.ndarray, lens: np.ndarray, length: int, doc: np.ndarray, start: np.ndarray):
     """Enhanced suffix array over strings laid end to end, and its maximal repeats of at least `length` bytes.
 
@@ -342,14 +444,28 @@ def suffix_intervals(raw: np.ndarray, lens: np.ndarray, length: int, doc: np.nda
     return sa, groups, later
 
 
+def _same_windows(raw: np.ndarray, size: np.ndarray, length: int, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, start, end) of all windows of strings laid end to end but the first of each content; for a few windows a string."""
+    n = size - length + 1
+    which = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = (np.cumsum(size) - size)[which] + inside
+    d, s = doc[which], start[which] + inside
+    o, _, head = _firsts((range_hash(raw)(at, at + length),), d, s)
+    d, s = d[o], s[o]
+    again = (d != d[head]) | (s != s[head])
+    return d[again], s[again], s[again] + length
+
+
 def _groups(length: int):
     """Of one part: every occurrence but the first, of each maximal repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = _gathered(batches, {"m": np.uint64, "d": np.int64, "s": np.int64, "n": np.int64, "b": np.uint8})
+        x = _gathered(batches, {"m": np.uint64, "d": np.int64, "s": np.int64, "n": np.int64, "b": np.uint8, "rd": np.int64, "rs": np.int64, "re": np.int64})
+        yield from _rows(*merged(x["rd"], x["rs"], x["re"]))
         if not len(x["m"]):
             return
-        # equal windows have one minimiser, so whole minimisers at a time, up to a size, make an array of their own
+        # equal windows have one key, so whole keys at a time, up to a size, make an array of their own
         o = np.argsort(x["m"], kind="stable")
         m, d, s, n = (x[k][o] for k in "mdsn")
         base = (np.cumsum(x["n"]) - x["n"])[o]
@@ -363,36 +479,38 @@ def _groups(length: int):
             hi = int(ends[k])
             part = slice(lo, hi)
             size = n[part]
+            lo = hi
+            if len(size) == 1 and size[0] <= 2 * length - GRAM:
+                continue
             at = np.append(0, np.cumsum(size))
             raw = x["b"][np.repeat(base[part] - at[:-1], size) + np.arange(at[-1])]
+            if at[-1] > ARRAY_BYTES and size.max() < length + STEP:
+                yield from _rows(*merged(*_same_windows(raw, size, length, d[part], s[part])))
+                continue
             sa, _, later = suffix_intervals(raw, size, length, d[part], s[part])
             if later:
                 entry, prefix = np.array(later, np.int64).T
                 which = np.searchsorted(at, sa[entry], side="right") - 1
                 doc, pos = d[part][which], s[part][which] + sa[entry] - at[which]
-                rd, rs, re = merged(doc, pos, pos + prefix)
-                yield from _rows(rd, rs, re, np.zeros(len(rd), np.uint64), False)
-            lo = hi
+                yield from _rows(*merged(doc, pos, pos + prefix))
 
     return run
 
 
-_SPANS = "doc_id long, s long, e long, m long, todo boolean"
+_SPANS = "doc_id long, s long, e long, m long, todo boolean, hot boolean"
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, spans array<struct<s, e>>) of bytes that a `length`-byte string covers which starts earlier; spans may touch or overlap."""
     session(spark)
-    n = partitions(spark)
+    n = partitions(spark, docs)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
-    scan = d.mapInArrow(_scan(length, n), "part int, m binary, c binary, d binary, s binary, n binary, rd binary, rs binary, re binary")
+    scan = d.mapInArrow(_scan(length, n), "part int, m binary, c binary, d binary, s binary, n binary, hot binary, told binary, rd binary, rs binary, re binary")
     settled = written(spark, scan.repartition(n, "part").mapInArrow(_settle(length), _SPANS), "segments")
-    todo = settled.where("todo").groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "m")).alias("todo"))
-    bytes_ = d.join(todo, "doc_id").select("doc_id", "text", "todo").mapInArrow(_cut_out(n), "part int, m binary, d binary, s binary, n binary, b binary")
+    todo = settled.where("todo").groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "m", "hot")).alias("todo"))
+    bytes_ = d.join(todo, "doc_id").select("doc_id", "text", "todo").mapInArrow(_cut_out(length, n), "part int, m binary, d binary, s binary, n binary, b binary, rd binary, rs binary, re binary")
     compared = written(spark, bytes_.repartition(n, "part").mapInArrow(_groups(length), _SPANS), "repeats")
-    spans = settled.where("not todo").unionByName(compared).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    spans._tables = (settled, compared)
-    return spans
+    return settled.where("not todo").unionByName(compared).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def _judge(keep_text: bool):
@@ -434,8 +552,10 @@ def _judge(keep_text: bool):
 def dedup_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `keep` also kept_text and those columns.
 
-    kept_text decodes the remaining bytes as UTF-8 and leaves out halves of characters at a cut.
+    kept_text decodes the remaining bytes as UTF-8 and leaves out halves of characters at a cut. A kept column with the
+    name of one of these is left out.
     """
+    keep = None if keep is None else [c for c in keep if c not in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")]
     spans = repeated_spans(spark, docs, length)
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *[F.col(c).alias(f"_x_{c}") for c in keep or []]]
     both = docs.select(*cols).join(spans, "doc_id", "left")
