@@ -4,16 +4,19 @@ Words that are frequent in the training rows (HEAD of them at most) have an inpu
 about equal frequency; the output is class-factored: a softmax over classes, then one over the words of the class. All
 other words share a class, `rare`, inside which a word has its smoothed frequency, so every text has a proper
 probability. The output biases start at the words' frequencies. Training is truncated back-propagation over windows,
-on all training rows, in rounds: each task goes on from the common weights over its own rows, and the weights are
-averaged, weighted by tokens. A task's texts are one stream, cut
-into lanes of one length; the state is carried from window to window and cleared where a text begins. Scoring runs
-whole documents side by side and carries the hidden state from window to window to the document's end.
+in one pass over all training rows: each task goes on from the common weights over its own rows, and the weights are
+averaged, weighted by tokens (one array a task, added up by COMBINE tasks). A task's texts are one stream, cut into
+lanes of one length; the state is carried from window to window and cleared where a text begins. Scoring runs whole
+documents side by side and carries the hidden state from window to window to the document's end.
 
-Token counts cover all training rows and stay distributed: only the KNOWN most frequent words come to the driver and
-are broadcast, and the other words of a text are joined with the counts by a shuffle, once per distinct word and row.
+Token counts cover all training rows and stay distributed: a histogram of the counts, of a bounded number of bins,
+gives the count from which at most KNOWN words occur as often; those come to the driver and are broadcast (at most
+KNOWN words of KNOWN_BYTES bytes), and the other words of a text are joined with the counts by a shuffle, once per
+distinct word and row. Words that tie at the border of the histogram's bins are all in or all out.
 
 Nulls and edge cases: a null or blank text is its end token alone; a null key counts as empty text for the folds;
-repeated rows are scored each; with no training rows every token is unknown; other columns are ignored.
+repeated rows are scored each; a very long text is one lane and is scored to its end; with no training rows every token
+is unknown; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,24 +27,30 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import session, text_arrays, written
 
-HEAD = 2048
-#: Words whose counts are broadcast; the first HEAD of them are the network's.
+HEAD = 1024
+#: Words whose counts are broadcast, at most; the first HEAD of them are the network's.
 KNOWN = 65536
+#: Counts up to here have a bin of their own; above, there are BINS bins a doubling.
+EXACT = 1024
+BINS = 64
 #: Bytes up to which a word can be among them, which bounds what is broadcast.
 KNOWN_BYTES = 64
 CLASSES = 32
 HIDDEN = 16
 WINDOW = 16  # steps of truncated back-propagation
-LANES = 32  # pieces of the stream of texts side by side in training
-SCORED_BYTES = 16 << 20  # of texts scored side by side
+LANES = 512  # pieces of the stream of texts side by side in training, at most
+STEPS = 64  # windows in a lane, at least, before there are more lanes
+TOKENS = 500_000  # of a stream
+SCORED_BYTES = 8 << 20  # of texts scored side by side
 SCORED_LANES = 4096
-ROUNDS = 2
-RATE = 0.01
+RATE = 0.03
+COMBINE = 8  # tasks that add up the weights of all others
 _END = b""  # no word is empty
 
 
@@ -80,6 +89,7 @@ class Network:
         self.cls = np.append(np.unique(raw, return_inverse=True)[1] if v else np.zeros(0, int), 0).astype(int)
         self.n_cls = int(self.cls[:v].max()) + 2 if v else 1
         self.cls[v] = self.n_cls - 1
+        self.cls = self.cls.astype(np.uint8)
         self.first = np.searchsorted(self.cls, np.arange(self.n_cls + 1))
         h = HIDDEN
         self.shapes = {"E": (v + 1, 3 * h), "U": (h, 3 * h), "C": (h, self.n_cls), "c": (self.n_cls,), "W": (v + 1, h), "w": (v + 1,)}
@@ -104,54 +114,67 @@ def encode(ids: dict[bytes, int], tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(ids.get, chain(tokens, (_END,)), repeat(len(ids))), np.int32, len(tokens) + 1)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def _step(p: dict, x: np.ndarray, h: np.ndarray):
-    """One gated step for each lane: input word x, state h."""
+    """One gated step for each lane: input word x, state h. Sigmoids are 0.5 * tanh(0.5 * x) + 0.5, in place."""
     k = HIDDEN
     e, u = p["E"][x], h @ p["U"]
-    gates = _sigmoid(e[:, : 2 * k] + u[:, : 2 * k])
+    gates = e[:, : 2 * k] + u[:, : 2 * k]
+    gates *= 0.5
+    np.tanh(gates, out=gates)
+    gates *= 0.5
+    gates += 0.5
     z, r = gates[:, :k], gates[:, k:]
-    n = np.tanh(e[:, 2 * k :] + r * u[:, 2 * k :])
-    return z, r, n, u, (1 - z) * n + z * h
-
-
-def _log_softmax(a: np.ndarray) -> np.ndarray:
-    m = a.max(1, keepdims=True)
-    return a - m - np.log(np.exp(a - m).sum(1, keepdims=True))
+    n = r * u[:, 2 * k :]
+    n += e[:, 2 * k :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return z, r, n, u, new
+
+
+def _log_softmax(a: np.ndarray, y: np.ndarray, slope: bool) -> np.ndarray:
+    """Log-probability of the target y in each row of a; with slope, a becomes its gradient."""
+    rows = np.arange(len(y))
+    target, top = a[rows, y], a.max(1)
+    a -= top[:, None]
+    np.exp(a, out=a)
+    total = a.sum(1)
+    if slope:
+        a /= total[:, None]
+        a[rows, y] -= 1
+    return target - top - np.log(total)
 
 
 def _outputs(net: Network, p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
     """Log-probability of each target, by class and word; with grad also the gradient of h, and sums into grad."""
-    cls = net.cls[y]
-    lc = _log_softmax(h @ p["C"] + p["c"])
-    out = lc[np.arange(len(y)), cls]
-    dh = None
-    if grad is not None:
-        dc = np.exp(lc)
-        dc[np.arange(len(y)), cls] -= 1
-        grad["C"] += h.T @ dc
-        grad["c"] += dc.sum(0)
-        dh = dc @ p["C"].T
-    order = np.argsort(cls, kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(net.n_cls + 1))
+    order = np.argsort(net.cls[y], kind="stable")
+    h, y = h[order], y[order]
+    cls, slope = net.cls[y], grad is not None
+    a = h @ p["C"]
+    a += p["c"]
+    lp, dh = _log_softmax(a, cls, slope), None
+    if slope:
+        grad["C"] += h.T @ a
+        grad["c"] += a.sum(0)
+        dh = a @ p["C"].T
+    cut = np.searchsorted(cls, np.arange(net.n_cls + 1))
     for c in np.flatnonzero(np.diff(cut)):
-        a, b = net.first[c], net.first[c + 1]
-        if b - a < 2:
+        words_ = slice(net.first[c], net.first[c + 1])
+        if words_.stop - words_.start < 2:
             continue
-        rows = order[cut[c] : cut[c + 1]]
-        w = p["W"][a:b]
-        lw = _log_softmax(h[rows] @ w.T + p["w"][a:b])
-        out[rows] += lw[np.arange(len(rows)), y[rows] - a]
-        if grad is not None:
-            dw = np.exp(lw)
-            dw[np.arange(len(rows)), y[rows] - a] -= 1
-            grad["W"][a:b] += dw.T @ h[rows]
-            grad["w"][a:b] += dw.sum(0)
-            dh[rows] += dw @ w
-    return out, dh
+        rows = slice(cut[c], cut[c + 1])
+        w = p["W"][words_]
+        a = h[rows] @ w.T
+        a += p["w"][words_]
+        lp[rows] += _log_softmax(a, y[rows] - words_.start, slope)
+        if slope:
+            grad["W"][words_] += a.T @ h[rows]
+            grad["w"][words_] += a.sum(0)
+            dh[rows] += a @ w
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return lp[back], dh[back] if slope else None
 
 
 def train_window(net: Network, p: dict, xs: np.ndarray, ys: np.ndarray, live: np.ndarray, h: np.ndarray, grad: dict, fresh: np.ndarray | None = None) -> np.ndarray:
@@ -198,7 +221,7 @@ def train_rows(net: Network, weights: np.ndarray, texts: list[np.ndarray], rate:
     flat = np.concatenate(texts)
     first = np.zeros(len(flat), bool)
     first[np.append(0, np.cumsum([len(t) for t in texts])[:-1])] = True
-    lanes = max(1, min(LANES, len(flat) // WINDOW))
+    lanes = max(1, min(LANES, len(flat) // (WINDOW * STEPS)))
     steps = -(-len(flat) // lanes)
     lay = lambda v, gap: np.append(v, np.full(steps * lanes - len(v), gap, v.dtype)).reshape(lanes, steps).T
     x, y = lay(np.where(first, net.end, np.append(net.end, flat[:-1])).astype(np.int32), net.end), lay(flat, net.end)
@@ -215,26 +238,62 @@ def train_rows(net: Network, weights: np.ndarray, texts: list[np.ndarray], rate:
     return w, len(flat)
 
 
+def _weights_row(slot: int, w: np.ndarray, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"slot": pa.array([slot], pa.int32()), "w": pa.array([w.tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
+
+
 def _teach(model, rate: float):
+    """Each task's weights after its rows, times its tokens, as one row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, weights, ids = model.value
         w, total, held, size = weights, 0, [], 0
+
+        def learn():
+            nonlocal w, total, held, size
+            w, n = train_rows(net, w, held, rate)
+            total, held, size = total + n, [], 0
+
         for b in batches:
             for t in b.column(0).to_pylist():
                 held.append(np.minimum(encode(ids, words(t or b"")), net.rare))
                 size += len(held[-1])
-                if size > 500_000:
-                    w, n = train_rows(net, w, held, rate)
-                    total, held, size = total + n, [], 0
+                if size > TOKENS:
+                    learn()
         if held:
-            w, n = train_rows(net, w, held, rate)
-            total += n
+            learn()
         if total:
-            yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(w)), pa.int32()), "x": pa.array(w.astype(np.float64) * total), "n": pa.array(np.full(len(w), total), pa.int64())})
+            yield _weights_row(TaskContext.get().partitionId() % COMBINE, w.astype(np.float64) * total, total)
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the rows of weights, one at a time, as one row."""
+    w, n = None, 0
+    for b in batches:
+        for x, k in zip(b.column(1), b.column(2).to_pylist()):
+            x = np.frombuffer(x.as_buffer(), np.float64)
+            w, n = x.copy() if w is None else w + x, n + k
+    if n:
+        yield _weights_row(0, w, n)
+
+
+def _most_frequent(counts: DataFrame, limit: int) -> tuple[list[bytes], np.ndarray]:
+    """The words that occur most often, with their counts: as many whole bins of counts as hold at most `limit` words."""
+    short = counts.where(F.length("word") <= KNOWN_BYTES)
+    size = F.when(F.col("n") <= EXACT, F.col("n")).otherwise(EXACT + F.ceil(F.log2(F.col("n") / EXACT) * BINS)).cast("long")
+    least, words_ = None, 0
+    for r in sorted(short.groupBy(size.alias("b")).agg(F.min("n").alias("least"), F.count("*").alias("words")).collect(), key=lambda r: -r["b"]):
+        words_ += r["words"]
+        if words_ > limit:
+            break
+        least = r["least"]
+    got = [(-r["n"], bytes(r["word"])) for r in short.where(F.col("n") >= least).collect()] if least is not None else []
+    got.sort()
+    return [w for _, w in got], np.array([-n for n, _ in got], np.int64)
+
+
 def score_texts(net: Network, weights: np.ndarray, texts: list[np.ndarray], limit: int = 16384) -> np.ndarray:
     """Natural log-probability of each text (word ids with the end), without the share of words inside `rare`."""
     p = net.parts(weights)
@@ -314,19 +373,18 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out, key: str = "
     counts = written(spark, teach.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_train, v_train = total["n"] or 0, total["v"]
-    top = counts.where(F.length("word") <= KNOWN_BYTES).orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
-    known, known_n = [bytes(w) for w in top["word"]], top["n"].to_numpy(np.int64)
+    known, known_n = _most_frequent(counts, KNOWN)
     ids = {w: i for i, w in enumerate(known)}
     head_n = known_n[:HEAD].tolist()
     rare = n_train - sum(head_n) + v_train - len(head_n) + 1  # inside rare a word has (c + 1) / rare
     net = Network(known[:HEAD], head_n, rare)
 
+    shared = spark.sparkContext.broadcast((net, net.weights, ids))
+    taught = teach.select("text").mapInArrow(_teach(shared, RATE), "slot int, w binary, n long")
+    taught = taught.repartition(COMBINE, "slot").coalesce(COMBINE).mapInArrow(_added, "slot int, w binary, n long").collect()
     weights = net.weights
-    for k in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((net, weights, ids))
-        mean = teach.select("text").mapInArrow(_teach(shared, RATE / (1 + k)), "at int, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
-        if len(mean):
-            weights = mean.sort_values("at")["x"].to_numpy(np.float32)
+    if taught:
+        weights = (sum(np.frombuffer(r["w"], np.float64) for r in taught) / sum(r["n"] for r in taught)).astype(np.float32)
 
     scale = np.log10(float(n_train + v_train + 1))
     logs = np.append(np.log10(known_n + 1.0), 0.0)
