@@ -83,7 +83,7 @@ def transition_attach(spark, sf):
 @query(ctes("v_transitions", "v_lattice") + """SELECT l_id, r_id, d2 FROM (SELECT l.id AS l_id, r.id AS r_id, CAST((l.x-r.x)*(l.x-r.x)+(l.y-r.y)*(l.y-r.y) AS BIGINT) AS d2,
   row_number() OVER (PARTITION BY l.id ORDER BY (l.x-r.x)*(l.x-r.x)+(l.y-r.y)*(l.y-r.y), r.id) AS k FROM v_transitions l, v_lattice r) q WHERE k = 1""")
 def transition_nearest_any(spark, sf):
-    return spatial.nearest_any(view(spark, sf, "v_transitions"), view(spark, sf, "v_lattice"))
+    return spatial.nearest_any(spark, view(spark, sf, "v_transitions"), view(spark, sf, "v_lattice"))
 
 
 # ---- merging and components
@@ -130,21 +130,26 @@ def component_floors(spark, sf):
     return _room_components(spark, sf).groupBy("comp").agg(F.count("*").alias("nodes"), F.count_distinct("floor").alias("floors"), F.min("floor").alias("low"), F.max("floor").alias("high"))
 
 
-@query(_COMPS + """, big AS (SELECT comp FROM comps GROUP BY comp ORDER BY count(*) DESC, comp LIMIT 1),
- sized AS (SELECT comp, count(*) OVER (PARTITION BY comp) AS n FROM comps),
- c AS (SELECT count(*) AS tracked, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS isolated, sum(CASE WHEN n > 1 AND comp NOT IN (SELECT comp FROM big) THEN 1 ELSE 0 END) AS cut_off, count(DISTINCT comp) AS n_components,
-       sum(CASE WHEN n = 1 OR comp NOT IN (SELECT comp FROM big) THEN 1 ELSE 0 END) AS offenders FROM sized)
- SELECT CAST(floor(100.0 * (tracked - offenders) / tracked + 0.5) AS BIGINT) AS score, CAST(isolated AS BIGINT) AS isolated, CAST(cut_off AS BIGINT) AS rooms_out, n_components FROM c""")
+@query(_COMPS + """, kinds AS (SELECT comp, count(*) AS n, count(*) FILTER (k % 4 <> 0) AS rooms, count(*) FILTER (k % 8 = 0) AS exits FROM comps GROUP BY comp),
+ judged AS (SELECT *, comp = (SELECT comp FROM kinds ORDER BY rooms DESC, comp LIMIT 1) AS main FROM kinds),
+ c AS (SELECT coalesce(sum(CASE WHEN n = 1 THEN 1 END), 0) AS isolated, coalesce(sum(CASE WHEN n > 1 AND NOT main THEN rooms END), 0) AS rooms_out, coalesce(sum(CASE WHEN n > 1 AND NOT main THEN exits END), 0) AS exits_out,
+  coalesce(sum(CASE WHEN n = 1 THEN 1 ELSE rooms + exits END), 0) AS tracked, count(*) AS n_components FROM judged)
+ SELECT CAST(CASE WHEN tracked = 0 THEN 100 ELSE floor(100.0 * (tracked - isolated - rooms_out - exits_out) / tracked + 0.5) END AS BIGINT) AS score, CAST(isolated AS BIGINT) AS isolated, CAST(rooms_out AS BIGINT) AS rooms_out, CAST(exits_out AS BIGINT) AS exits_out, n_components FROM c""")
 def connectivity_score(spark, sf):
-    return stats.connectivity_score(_room_components(spark, sf).select("id", "comp"))
+    """Nodes with k % 4 of 0 stand for other nodes, half of them for exits."""
+    return stats.connectivity_score(_room_components(spark, sf).select("id", "comp", (F.col("k") % 4 != 0).alias("room"), (F.col("k") % 8 == 0).alias("exit")))
 
 
 @query(_COMPS + """, r AS (SELECT *, row_number() OVER (PARTITION BY floor ORDER BY k) AS n FROM comps)
- SELECT a.floor AS src_floor, b.floor AS tgt_floor, CAST(avg(CASE WHEN a.comp = b.comp THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS ratio FROM r a JOIN r b ON a.floor <> b.floor AND a.n <= 5 AND b.n <= 5 GROUP BY a.floor, b.floor""")
+ SELECT a.floor AS src_floor, b.floor AS tgt_floor, CAST(avg(CASE WHEN a.comp = b.comp THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS ratio FROM r a JOIN r b ON a.floor <> b.floor AND a.n <= 5 AND b.n <= 5 GROUP BY a.floor, b.floor
+ UNION ALL SELECT a.floor, a.floor, max(CASE WHEN a.n < b.n AND a.comp = b.comp THEN 1.0 ELSE 0.0 END) FROM r a JOIN r b ON a.floor = b.floor AND a.n <= 10 AND b.n <= 10 GROUP BY a.floor""")
 def connectivity_matrix(spark, sf):
-    r = stats.first_n(_room_components(spark, sf).select("floor", "k", "comp"), "floor", "k", 5)
-    a, b = (r.select(F.col("floor").alias(f"{p}_floor"), F.col("comp").alias(f"{p}_comp")) for p in ("src", "tgt"))
-    return a.join(F.broadcast(b), F.col("src_floor") != F.col("tgt_floor")).groupBy("src_floor", "tgt_floor").agg(F.avg((F.col("src_comp") == F.col("tgt_comp")).cast("double")).alias("ratio"))
+    """Share of connected pairs of the first five rooms of two floors; for a floor with itself, 1 if any two of its first ten are connected."""
+    r = stats.first_n(_room_components(spark, sf).select("floor", "k", "comp"), "floor", "k", 10)
+    a, b = (r.where("n <= 5").select(F.col("floor").alias(f"{p}_floor"), F.col("comp").alias(f"{p}_comp")) for p in ("src", "tgt"))
+    across = a.join(F.broadcast(b), F.col("src_floor") != F.col("tgt_floor")).groupBy("src_floor", "tgt_floor").agg(F.avg((F.col("src_comp") == F.col("tgt_comp")).cast("double")).alias("ratio"))
+    own = r.groupBy("floor").agg((F.count("*") > F.count_distinct("comp")).cast("double").alias("ratio"))
+    return across.unionByName(own.select(F.col("floor").alias("src_floor"), F.col("floor").alias("tgt_floor"), "ratio"))
 
 
 @query(_COMPS + """, r AS (SELECT *, row_number() OVER (PARTITION BY floor ORDER BY k) AS n FROM comps)
@@ -227,7 +232,7 @@ def lattice_nodes_clear_of_walls(spark, sf):
     """Lattice places outside the walls grown by 7, numbered row by row."""
     walls = view(spark, sf, "v_pixcode").where("code >= 46 AND y % 40 < 4").select("y", "x").distinct()
     grid = view(spark, sf, "v_lattice").where("y < 400 AND x < 400 AND y % 20 = 0 AND x % 20 = 0").select("x", "y")
-    return stats.numbered(grid.join(spatial.dilate(walls), ["y", "x"], "left_anti"), ["y", "x"], "n").select(F.concat(F.lit("corridor_connect_"), "n").alias("id"), "x", "y")
+    return stats.numbered(spark, grid.join(spatial.dilate(walls), ["y", "x"], "left_anti"), ["y", "x"], "n").select(F.concat(F.lit("corridor_connect_"), "n").alias("id"), "x", "y")
 
 
 _RB = "SELECT k AS box, x AS x1, y % 400 AS y1, x + 30 AS x2, y % 400 + 20 AS y2 FROM v_rooms"
@@ -262,11 +267,11 @@ def anchor_door(spark, sf):
     return spatial.knn_join(view(spark, sf, "v_rooms"), view(spark, sf, "v_doors").where("subtype = 'r2c'"), 120, 1).select(F.col("l_id").alias("room"), F.col("r_id").alias("anchor"), "d2")
 
 
-_FAMILY = ", fam AS (SELECT id AS room, id, x, y FROM v_rooms WHERE k < 50 UNION ALL SELECT room, id, x, y FROM v_subnodes)"
+_FAMILY = ", fam AS (SELECT id AS room, id, x, y FROM v_rooms UNION ALL SELECT room, id, x, y FROM v_subnodes)"
 
 
 def _family(spark, sf):
-    rooms = view(spark, sf, "v_rooms").where("k < 50").select(F.col("id").alias("room"), "id", "x", "y")
+    rooms = view(spark, sf, "v_rooms").select(F.col("id").alias("room"), "id", "x", "y")
     return rooms.unionByName(view(spark, sf, "v_subnodes").select("room", "id", "x", "y"))
 
 
@@ -290,7 +295,7 @@ def funnel_lattice(spark, sf):
 @query()
 def funnel_kept_edges(spark, sf):
     lattice = funnel_lattice(spark, sf).select(F.regexp_extract("room", r"(\d+)", 1).cast("long").alias("floor"), "src", "dst", F.sqrt("d2").alias("weight"))
-    anchors = view(spark, sf, "v_rooms").where("k < 50").select(F.col("k").alias("floor"), F.col("id").alias("anchor"))
+    anchors = view(spark, sf, "v_rooms").select(F.col("k").alias("floor"), F.col("id").alias("anchor"))
     return paths.funnel(lattice, anchors)
 
 
@@ -332,7 +337,10 @@ def _files(spark, sf):
     return view(spark, sf, "v_log").groupBy("file_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("content"))
 
 
-@query(ctes("v_log") + _FILES + " SELECT file_name, " + ", ".join(f"TRY_CAST(replace(regexp_extract(content, '{p}', {i}, 'i'), ',', '') AS {t.upper()}) AS {c}" for c, (p, i, t) in readers.METRICS.items()) + " FROM files")
+@query(ctes("v_log") + _FILES + r""", hits AS (SELECT file_name, k, line FROM v_log), firsts AS (SELECT file_name,
+   arg_min(line, k) FILTER (regexp_matches(line, '^Image Dimensions: [0-9]+ x [0-9]+')) AS dims, arg_min(line, k) FILTER (starts_with(line, 'Total graph nodes (before pruning): ')) AS before, arg_min(line, k) FILTER (starts_with(line, 'JSON File Size (after pruning): ')) AS size FROM hits GROUP BY file_name)
+ SELECT file_name, CAST(split_part(split_part(dims, ': ', 2), ' x ', 1) AS INTEGER) AS width, CAST(split_part(split_part(split_part(dims, ': ', 2), ' x ', 2), ' ', 1) AS INTEGER) AS height, CAST(NULL AS DOUBLE) AS total_time,
+  CAST(split_part(before, ': ', 2) AS DOUBLE) AS nodes_before, CAST(NULL AS DOUBLE) AS nodes_after, CAST(NULL AS DOUBLE) AS json_size_before_kb, CAST(replace(split_part(split_part(size, ': ', 2), ' ', 1), ',', '') AS DOUBLE) AS json_size_after_kb FROM firsts""")
 def timer_metrics(spark, sf):
     return readers.timer_metrics(_files(spark, sf))
 
@@ -517,10 +525,10 @@ def _pairs(spark, sf):
     return a.join(n.where("k % 100 = 91").select("floor", F.col("id").alias("target")), "floor")
 
 
-@query(ctes("v_lattice") + f", n AS (SELECT id, k, x, y, CAST(floor(y / 200) AS BIGINT) AS floor FROM v_lattice), p AS (SELECT a.floor, a.id AS source, b.id AS target, abs(a.x - b.x) / 20 AS dx, abs(a.y - b.y) / 20 AS dy FROM n a JOIN n b ON a.floor = b.floor AND a.k % 100 = 3 AND b.k % 100 = 91) SELECT floor, source, target, round({_OCTILE}, 4) AS distance, CAST(greatest(dx, dy) AS INTEGER) AS segments, 1 AS types FROM p")
+@query(ctes("v_lattice") + f", n AS (SELECT id, k, x, y, CAST(floor(y / 200) AS BIGINT) AS floor FROM v_lattice), p AS (SELECT a.floor, a.id AS source, b.id AS target, abs(a.x - b.x) / 20 AS dx, abs(a.y - b.y) / 20 AS dy FROM n a JOIN n b ON a.floor = b.floor AND a.k % 100 = 3 AND b.k % 100 = 91) SELECT floor, source, target, round({_OCTILE}, 4) AS distance, CAST(greatest(dx, dy) AS INTEGER) AS segments FROM p")
 def route_info(spark, sf):
     r = paths.routes(_floor_lattice(spark, sf), _pairs(spark, sf))
-    return r.select("floor", "source", "target", F.round("distance", 4).alias("distance"), "segments", F.lit(1).alias("types"))
+    return r.select("floor", "source", "target", F.round("distance", 4).alias("distance"), "segments")
 
 
 @query()
@@ -553,22 +561,29 @@ def edge_metrics(spark, sf):
 @query(ctes("v_rooms", "v_transitions") + "SELECT concat(floor, '_', id) AS id, id AS original_id, 'room' AS type, floor, x, y FROM v_rooms UNION ALL SELECT concat(floor, '_', id), id, 'transition', floor, x, y FROM v_transitions")
 def merged_floors(spark, sf):
     rooms = view(spark, sf, "v_rooms").withColumn("type", F.lit("room"))
-    return floors.merge_floors([rooms, view(spark, sf, "v_transitions").withColumn("type", F.lit("transition"))])
+    return floors.merge_floors([rooms, view(spark, sf, "v_transitions").withColumn("type", F.lit("transition"))]).drop("source_image")
 
 
-_LINKS = "SELECT a.id AS a, b.id AS b, a.floor AS src_floor, b.floor AS tgt_floor FROM v_transitions a JOIN v_transitions b ON b.floor = a.floor + 1 AND a.k % 5 = b.k % 5"
+_LINKS = """, pages AS (SELECT id, floor, chain, concat('plan_', floor, '.png') AS image FROM v_transitions),
+ links AS (SELECT a.floor AS src_floor, a.image AS src_image, a.id AS src_node, b.floor AS tgt_floor, CASE WHEN b.chain % 2 = 1 THEN 'other.png' ELSE b.image END AS tgt_image, CASE WHEN b.chain = 3 THEN concat(b.id, 'x') ELSE b.id END AS tgt_node
+  FROM pages a JOIN pages b ON b.floor = a.floor + 1 AND a.chain = b.chain),
+ merged AS (SELECT concat(floor, '_', id) AS id, id AS node, image FROM pages),
+ found AS (SELECT links.*, coalesce(a.id, b.id) AS src, coalesce(c.id, d.id) AS dst FROM links LEFT JOIN merged a ON a.image = src_image AND a.node = src_node LEFT JOIN merged b ON b.id = concat(src_floor, '_', src_node)
+  LEFT JOIN merged c ON c.image = tgt_image AND c.node = tgt_node LEFT JOIN merged d ON d.id = concat(tgt_floor, '_', tgt_node))"""
 
 
-@query(ctes("v_transitions") + f"SELECT concat(src_floor, '_', a) AS src, concat(tgt_floor, '_', b) AS dst, src_floor, tgt_floor, 'inter_floor' AS edge_type, 1.0 AS weight FROM ({_LINKS}) q")
+@query(ctes("v_transitions") + _LINKS + " SELECT CASE WHEN dst IS NOT NULL THEN src END AS src, CASE WHEN src IS NOT NULL THEN dst END AS dst, src_floor, tgt_floor, 'inter_floor' AS edge_type, 1.0 AS weight, CASE WHEN src IS NULL THEN src_node WHEN dst IS NULL THEN tgt_node END AS missing FROM found")
 def inter_floor_edges(spark, sf):
-    t = view(spark, sf, "v_transitions")
-    links = t.select(F.col("id").alias("src_node"), F.col("floor").alias("src_floor"), (F.col("k") % 5).alias("c")).join(t.select(F.col("id").alias("tgt_node"), F.col("floor").alias("tgt_floor"), (F.col("k") % 5).alias("c")), "c").where("tgt_floor = src_floor + 1")
-    return floors.inter_floor_edges(links, floors.merge_floors([t.withColumn("type", F.lit("transition"))]))
+    """Links of one chain between neighbouring floors; some name another image, some a node that is not there."""
+    t = view(spark, sf, "v_transitions").withColumn("source_image", F.concat(F.lit("plan_"), "floor", F.lit(".png")))
+    a, b = (t.select(F.col("floor").alias(f"{p}_floor"), F.col("source_image").alias(f"{p}_image"), F.col("id").alias(f"{p}_node"), "chain") for p in ("src", "tgt"))
+    links = a.join(b, "chain").where("tgt_floor = src_floor + 1").withColumns({"tgt_image": F.when(F.col("chain") % 2 == 1, "other.png").otherwise(F.col("tgt_image")), "tgt_node": F.when(F.col("chain") == 3, F.concat("tgt_node", F.lit("x"))).otherwise(F.col("tgt_node"))})
+    return floors.inter_floor_edges(links.drop("chain"), floors.merge_floors([t.withColumn("type", F.lit("transition"))]))
 
 
-@query(ctes("v_transitions") + ", t AS (SELECT id, floor, k, x / 400.0 AS nx, y / 2000.0 AS ny FROM v_transitions) SELECT a.id AS a, b.id AS b, round(abs(a.nx - b.nx), 4) AS dx, round(abs(a.ny - b.ny), 4) AS dy, abs(a.nx - b.nx) <= 0.25 AND abs(a.ny - b.ny) <= 0.25 AS aligned FROM t a JOIN t b ON b.floor = a.floor + 1 AND a.k % 5 = b.k % 5")
+@query(ctes("v_transitions") + ", t AS (SELECT id, floor, chain, x / 400.0 AS nx, y / 2000.0 AS ny FROM v_transitions) SELECT a.id AS a, b.id AS b, round(abs(a.nx - b.nx), 4) AS dx, round(abs(a.ny - b.ny), 4) AS dy, abs(a.nx - b.nx) <= 0.25 AND abs(a.ny - b.ny) <= 0.25 AS aligned FROM t a JOIN t b ON b.floor = a.floor + 1 AND a.chain = b.chain")
 def transition_alignment(spark, sf):
-    t = view(spark, sf, "v_transitions").select("id", "floor", (F.col("k") % 5).alias("c"), "x", "y")
+    t = view(spark, sf, "v_transitions").select("id", "floor", F.col("chain").alias("c"), "x", "y")
     return floors.alignment(t, 400, 2000, 0.25)
 
 
@@ -620,7 +635,7 @@ _COLOR = "CASE WHEN 'floor_transition' IN (a.type, b.type) THEN 'transition' WHE
 
 @query(ctes(*_NODE_VIEWS) + _VE + f", n AS ({_VN}) SELECT concat('e', row_number() OVER (ORDER BY s, t) - 1, '_', s, '_', t) AS id, s AS source, t AS target, {_COLOR} AS color FROM e JOIN n a ON a.id = s JOIN n b ON b.id = t")
 def view_edges(spark, sf):
-    return floors.view_edges(_view_edges(spark, sf), floors.view_nodes(_nodes(spark, sf)))
+    return floors.view_edges(spark, _view_edges(spark, sf), floors.view_nodes(_nodes(spark, sf)))
 
 
 @query(ctes(*_NODE_VIEWS) + _VE + f", n AS ({_VN}) SELECT color, count(*) AS n FROM (SELECT {_COLOR} AS color FROM e JOIN n a ON a.id = s JOIN n b ON b.id = t) q GROUP BY color")
@@ -636,7 +651,7 @@ def visible_edges(spark, sf):
 
 @query(ctes(*_NODE_VIEWS) + f", n AS ({_VN}) SELECT id, type, row_number() OVER (ORDER BY type, regexp_extract(label, '^([^0-9]*)', 1), TRY_CAST(regexp_extract(label, '([0-9]+)', 1) AS BIGINT), label) AS place FROM n WHERE type IN ('room', 'floor_transition') AND id NOT LIKE '%\\_subnode\\_%' ESCAPE '\\'")
 def route_endpoints(spark, sf):
-    return floors.route_endpoints(floors.view_nodes(_nodes(spark, sf)))
+    return floors.route_endpoints(spark, floors.view_nodes(_nodes(spark, sf)))
 
 
 @query("SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS stage, max(ts) AS at, count(*) AS n FROM events GROUP BY user_id")

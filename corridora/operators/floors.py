@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -47,16 +47,29 @@ def sequence_names(named: DataFrame) -> DataFrame:
 
 
 def merge_floors(parts: list[DataFrame]) -> DataFrame:
-    """Nodes of all floors, with their floor in front of their id."""
-    out = [p.select(F.concat(F.col("floor").cast("string"), F.lit("_"), "id").alias("id"), F.col("id").alias("original_id"), "type", "floor", "x", "y") for p in parts]
+    """Nodes of all floors, with their floor in front of their id; a part may name the image that it comes from."""
+    image = lambda p: (F.col("source_image") if "source_image" in p.columns else F.lit(None).cast("string")).alias("source_image")
+    out = [p.select(F.concat(F.col("floor").cast("string"), F.lit("_"), "id").alias("id"), F.col("id").alias("original_id"), "type", "floor", "x", "y", image(p)) for p in parts]
     return reduce(DataFrame.unionByName, out)
 
 
 def inter_floor_edges(links: DataFrame, merged: DataFrame, cost: float = 1.0) -> DataFrame:
-    """Edges of links (src_floor, src_node, tgt_floor, tgt_node) whose ends are both merged nodes; the cost is explicit."""
-    ids = merged.select("id", "floor", F.col("original_id").alias("node"))
-    a, b = ids.toDF("src", "src_floor", "src_node"), ids.toDF("dst", "tgt_floor", "tgt_node")
-    return links.join(a, ["src_floor", "src_node"]).join(b, ["tgt_floor", "tgt_node"]).select("src", "dst", "src_floor", "tgt_floor", F.lit("inter_floor").alias("edge_type"), F.lit(cost).alias("weight"))
+    """Edges of links (src_floor, src_image, src_node, tgt_floor, tgt_image, tgt_node) between merged nodes (id,
+    original_id, floor, source_image); the cost is explicit. An end is found by image and node, or else by the id
+    <floor>_<node>; links with an end that is not there give a row with `missing`, which names that end, and no ids."""
+    ids = merged.select("id", F.col("original_id").alias("_node"), F.col("source_image").alias("_image"))
+
+    def end(df: DataFrame, side: str, out: str) -> DataFrame:
+        named = ids.select(F.col("id").alias("_a"), F.col("_node").alias(f"{side}_node"), F.col("_image").alias(f"{side}_image"))
+        plain = merged.select(F.col("id").alias("_b"))
+        guess = F.concat(F.col(f"{side}_floor").cast("string"), F.lit("_"), f"{side}_node")
+        both = df.join(named, [f"{side}_node", f"{side}_image"], "left").join(plain, F.col("_b") == guess, "left")
+        return both.withColumn(out, F.coalesce("_a", "_b")).drop("_a", "_b")
+
+    both = end(end(links, "src", "src"), "tgt", "dst")
+    lost = F.when(F.col("src").isNull(), F.col("src_node")).when(F.col("dst").isNull(), F.col("tgt_node"))
+    ok = lambda c: F.when(lost.isNull(), F.col(c)).alias(c)
+    return both.select(ok("src"), ok("dst"), "src_floor", "tgt_floor", F.lit("inter_floor").alias("edge_type"), F.lit(cost).alias("weight"), lost.alias("missing"))
 
 
 def alignment(t: DataFrame, width: int, height: int, tolerance: float) -> DataFrame:
@@ -80,10 +93,10 @@ def edge_color(a, b):
     return out.otherwise("default")
 
 
-def view_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def view_edges(spark: SparkSession, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (s, t) in order, with ids e<place>_<source>_<target> and colours."""
     types = nodes.select("id", "type")
-    n = numbered(edges, ["s", "t"], "n")
+    n = numbered(spark, edges, ["s", "t"], "n")
     e = n.join(types.toDF("s", "a"), "s").join(types.toDF("t", "b"), "t")
     return e.select(F.concat(F.lit("e"), (F.col("n") - 1).cast("string"), F.lit("_"), "s", F.lit("_"), "t").alias("id"), F.col("s").alias("source"), F.col("t").alias("target"), edge_color(F.col("a"), F.col("b")).alias("color"))
 
@@ -93,8 +106,8 @@ def visible_edges(edges: DataFrame, nodes: DataFrame, hidden: list[str], keep: l
     return edges.join(shown.toDF("s"), "s", "left_semi").join(shown.toDF("t"), "t", "left_semi").select("s", "t")
 
 
-def route_endpoints(nodes: DataFrame) -> DataFrame:
+def route_endpoints(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     """Rooms and links between floors, without subnodes, by type and natural label."""
     some = nodes.where(F.col("type").isin("room", "floor_transition") & ~F.col("id").contains("_subnode_"))
     prefix, number = F.regexp_extract("label", r"^([^0-9]*)", 1), F.regexp_extract("label", r"([0-9]+)", 1).try_cast("long")
-    return numbered(some.withColumns({"_p": prefix, "_k": number, "_g": F.concat_ws("\u0001", "type", prefix)}), ["_g", "_k", "label"], "place").select("id", "type", F.col("place").cast("long").alias("place"))
+    return numbered(spark, some.withColumns({"_a": prefix, "_k": number}), ["type", "_a", "_k", "label"], "place").select("id", "type", F.col("place").cast("long").alias("place"))

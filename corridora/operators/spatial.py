@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import written
+
 
 def radius_join(left: DataFrame, right: DataFrame, radius: int, strict: bool = False) -> DataFrame:
     """All pairs (l_id, r_id, d2) of (id, x, y) rows within the radius, ends included unless strict.
@@ -32,20 +34,21 @@ def knn_join(left: DataFrame, right: DataFrame, radius: int, k: int) -> DataFram
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("l_id", "r_id", "d2", "rank")
 
 
-def nearest_any(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l_id, r_id, d2) without a radius, by widening rings of the grid join: only rows still without a neighbour go on."""
+def nearest_any(spark: SparkSession, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l_id, r_id, d2) without a radius, by widening rings of the grid join: only rows still without a neighbour go on,
+    as a table, until none is left. Nothing is found where right is empty."""
+    corner = F.max(F.greatest(F.abs("x"), F.abs("y")))
     radius, todo, out = 64, left.select("id", "x", "y"), None
-    span = right.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0]
-    reach = left.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0]
+    reach, span = left.agg(corner).first()[0], right.agg(corner).first()[0]
     if span is None or reach is None:
         return knn_join(left, right, 1, 1).drop("rank")
     while True:
-        got = knn_join(todo, right, radius, 1).drop("rank")
+        got = written(spark, knn_join(todo, right, radius, 1).drop("rank"), "nearest")
         out = got if out is None else out.unionByName(got)
-        if radius > 3 * (span + reach + 1):
+        todo = written(spark, todo.join(got.select(F.col("l_id").alias("id")), "id", "left_anti"), "todo")
+        if radius > 3 * (span + reach + 1) or todo.isEmpty():
             return out
-        todo = todo.join(got.select(F.col("l_id").alias("id")), "id", "left_anti")
-        radius *= 8
+        radius *= 4
 
 
 def in_boxes(points: DataFrame, boxes: DataFrame, cell: int = 64, margin: int = 0) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import written
+
 
 def type_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(F.coalesce("type", F.lit("unknown")).alias("type")).agg(F.count("*").alias("n"))
@@ -26,28 +28,36 @@ def first_n(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
     return df.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("n") <= n)
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """A running number over all rows: each value of the first key is counted, and its rows follow its offset, so only the counts meet in one task."""
-    first, rest = order[0], order[1:]
-    counts = df.groupBy(first).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(first, F.coalesce(before, F.lit(0)).alias("_o"))
-    return df.join(offsets, first).withColumn(name, F.row_number().over(Window.partitionBy(first).orderBy(*rest)) + F.col("_o")).drop("_o")
+def numbered(spark: SparkSession, df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """A running number over all rows, from 1: rows are dealt by ranges of the whole order and sorted there, a place in its
+    range and the number of rows in the ranges before (one row for each range) make a row's number."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id())
+    dealt = written(spark, dealt, "numbered").withColumn("_p", F.shiftright("_i", 33))
+    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_o"))
+    place = F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_o") + 1
+    return dealt.join(F.broadcast(offsets), "_p").withColumn(name, place).drop("_p", "_i", "_o")
 
 
 def connectivity_score(members: DataFrame) -> DataFrame:
-    """(score, isolated, rooms_out, n_components) over (id, comp): the network is the largest component, the first of equals."""
-    comps = members.groupBy("comp").agg(F.count("*").alias("n"))
-    w = F.max(F.struct("n", -F.col("comp"))).alias("top")
-    top = comps.agg(w, F.count("*").alias("n_components"), F.sum("n").alias("tracked"))
-    out = comps.join(F.broadcast(top)).withColumn("main", (F.col("n") == F.col("top.n")) & (-F.col("comp") == F.col("top").getField("col2")))
-    alone = F.col("n") == 1
-    got = out.groupBy("n_components", "tracked").agg(
-        F.sum(F.when(alone, 1).otherwise(0)).alias("isolated"),
-        F.sum(F.when(~alone & ~F.col("main"), F.col("n")).otherwise(0)).alias("rooms_out"),
-        F.sum(F.when(alone | ~F.col("main"), F.col("n")).otherwise(0)).alias("offenders"),
-    )
-    return got.select(F.floor(F.lit(100.0) * (F.col("tracked") - F.col("offenders")) / F.col("tracked") + 0.5).cast("long").alias("score"), F.col("isolated").cast("long").alias("isolated"), F.col("rooms_out").cast("long").alias("rooms_out"), "n_components")
+    """(score, isolated, rooms_out, exits_out, n_components) over (id, comp, room, exit): whether a node is a main room or
+    an exit door. The network is the component with the most main rooms, the first of equals; nodes alone in their
+    component are isolated. An empty graph has score 100."""
+    yes = lambda c: F.sum(F.col(c).cast("long"))
+    comps = members.groupBy("comp").agg(F.count("*").alias("n"), yes("room").alias("rooms"), yes("exit").alias("exits"))
+    alone, out = F.col("n") == 1, (F.col("n") > 1) & ~F.col("main")
+    top = comps.agg(F.max(F.struct(F.col("rooms").alias("r"), (-F.col("comp")).alias("c"))).alias("top"))
+    judged = comps.join(F.broadcast(top)).withColumn("main", -F.col("comp") == F.col("top.c"))
+    add = lambda when, value: F.coalesce(F.sum(F.when(when, value)), F.lit(0)).cast("long")
+    got = judged.agg(
+        add(alone, 1).alias("isolated"), add(out, F.col("rooms")).alias("rooms_out"), add(out, F.col("exits")).alias("exits_out"),
+        add(F.lit(True), F.when(alone, 1).otherwise(F.col("rooms") + F.col("exits"))).alias("tracked"), F.count("*").alias("n_components"),
+    )
+    bad = F.col("isolated") + F.col("rooms_out") + F.col("exits_out")
+    score = F.when(F.col("tracked") == 0, 100).otherwise(F.floor(F.lit(100.0) * (F.col("tracked") - bad) / F.nullif("tracked", F.lit(0)) + 0.5))
+    return got.select(score.cast("long").alias("score"), "isolated", "rooms_out", "exits_out", "n_components")
 
 
 def backfill_weights(edges: DataFrame) -> DataFrame:

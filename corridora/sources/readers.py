@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MAPPING_LINE
 
+#: The fields of graph files.
 GRAPH_SCHEMA = "nodes ARRAY<STRUCT<id STRING, type STRING, position ARRAY<DOUBLE>, floor STRING, pixels ARRAY<STRING>>>, edges ARRAY<STRUCT<source STRING, target STRING, weight DOUBLE, distance DOUBLE>>"
 #: Lines of a timing log.
 STEP_LINE = r"(?i)([A-Za-z &]+? check):\s*([\d.]+)\s*seconds"
@@ -42,7 +43,10 @@ def parse_mapping(lines: DataFrame) -> DataFrame:
 def timer_metrics(files: DataFrame) -> DataFrame:
     """One row for each (file_name, content); missing values are null."""
     get = lambda p, i, t: F.replace(F.regexp_extract("content", "(?i)" + p, i), F.lit(","), F.lit("")).try_cast(t)
-    return files.select("file_name", *[get(p, i, t).alias(c) for c, (p, i, t) in METRICS.items()])
+    out = {c: get(p, i, t) for c, (p, i, t) in METRICS.items()}
+    # a total without its unit, where no total has one
+    out["total_time"] = F.coalesce(out["total_time"], get(r"Total Time:\s*([\d.]+)", 1, "double"))
+    return files.select("file_name", *[v.alias(c) for c, v in out.items()])
 
 
 def timer_steps(files: DataFrame, least: float = 1.0) -> DataFrame:
