@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.components import connected_components
+
 #: Class colours, in order of precedence.
 COLORS = {"room": (255, 204, 102), "outdoor": (255, 102, 204), "corridor": (178, 255, 102), "unmarked": (255, 255, 255), "wall": (0, 0, 0)}
 
@@ -91,4 +93,15 @@ def geodesic_partition(pixels: DataFrame, seeds: DataFrame) -> DataFrame:
         img = mask["img"].iloc[0] if len(mask) else 0
         return pd.DataFrame([(img, y, x, label, s) for (y, x), (label, s) in got.items()], columns=["img", "y", "x", "label", "steps"])
 
-    return pixels.groupBy("img").cogroup(seeds.groupBy("img")).applyInPandas(run, "img long, y long, x long, label string, steps long")
+    return pixels.toDF(*pixels.columns).groupBy("img").cogroup(seeds.toDF(*seeds.columns).groupBy("img")).applyInPandas(run, "img long, y long, x long, label string, steps long")
+
+
+def touching_groups(spark: SparkSession, boxes: DataFrame, cell: int = 64) -> DataFrame:
+    """(grp, x1, y1, x2, y2, n): boxes (grp, ord, x1, y1, x2, y2) of a group that touch, directly or over others, as one box."""
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+    laid = boxes.withColumn("_x", span("x1", "x2")).withColumn("_y", span("y1", "y2"))
+    other = laid.select("grp", "_x", "_y", *[F.col(c).alias(f"o_{c}") for c in ("ord", "x1", "y1", "x2", "y2")])
+    touch = (F.col("ord") < F.col("o_ord")) & (F.col("x1") <= F.col("o_x2")) & (F.col("o_x1") <= F.col("x2")) & (F.col("y1") <= F.col("o_y2")) & (F.col("o_y1") <= F.col("y2"))
+    comp = connected_components(spark, laid.join(other, ["grp", "_x", "_y"]).where(touch).select("ord", "o_ord"), "ord", "o_ord")
+    out = boxes.join(comp, F.col("ord") == F.col("node"), "left").withColumn("_c", F.coalesce("component", "ord"))
+    return out.groupBy("grp", "_c").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("n")).drop("_c")

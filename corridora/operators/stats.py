@@ -63,3 +63,12 @@ def connectivity_score(members: DataFrame) -> DataFrame:
 def backfill_weights(edges: DataFrame) -> DataFrame:
     """Weights that are missing or 1 become the distance."""
     return edges.withColumn("weight", F.when(F.col("weight").isNull() | (F.col("weight") == 1), F.col("distance")).otherwise(F.col("weight")))
+
+
+def pre_post(pre: DataFrame, post: DataFrame, timed: DataFrame) -> DataFrame:
+    """(floor, pre_nodes, post_nodes, reduction) of nodes before and after pruning; a count (floor, timed) goes before the one of `pre`."""
+    a = pre.groupBy("floor").agg(F.count("*").alias("_n")).join(timed, "floor", "left").select("floor", F.coalesce("timed", "_n").alias("pre_nodes"))
+    b = post.groupBy("floor").agg(F.count("*").alias("post_nodes"))
+    both = a.join(b, "floor", "left").na.fill(0, ["post_nodes"])
+    share = (1 - F.col("post_nodes") / F.nullif(F.col("pre_nodes").cast("double"), F.lit(0.0))) * 100
+    return both.withColumn("reduction", F.coalesce(F.round(share, 2), F.lit(0.0)))

@@ -19,7 +19,7 @@ VIEWS: dict[str, tuple[str, str, dict[str, str]]] = {
     "v_names": ("nation", "true", {"k": "CAST(n_nationkey AS BIGINT)", "name": "concat(CASE n_nationkey % 10 WHEN 0 THEN 'FF part ' WHEN 1 THEN 'SF part ' WHEN 2 THEN 'tf_' WHEN 3 THEN 'b2 ' WHEN 4 THEN 'GF ' WHEN 5 THEN 'wing' WHEN 6 THEN '4 part ' WHEN 7 THEN 'file_' WHEN 8 THEN 'level-' ELSE 'plan ' END, CASE WHEN n_nationkey % 10 = 9 THEN 'x' ELSE CAST(n_nationkey AS STRING) END, '.png')"}),
     "v_log": ("orders", "true", {"k": "o_orderkey", "line": "concat(CASE o_orderkey % 6 WHEN 0 THEN 'text detection check: ' WHEN 1 THEN 'Detecting doors check: ' WHEN 2 THEN 'Total graph nodes (before pruning): ' WHEN 3 THEN 'JSON File Size (after pruning): ' WHEN 4 THEN 'Image Dimensions: ' ELSE '=====' END, CASE o_orderkey % 6 WHEN 2 THEN concat(o_custkey, '') WHEN 3 THEN concat('1,', 100 + o_custkey % 900, '.5 KB') WHEN 4 THEN concat(o_custkey % 2000, ' x ', o_orderkey % 1500, ' pixels') WHEN 5 THEN '' ELSE concat(o_custkey % 9, '.', 10 + o_orderkey % 90, ' seconds') END)", "file_name": "concat('f', o_orderkey % 50)"}),
     "v_ocr": ("part", "true", {"k": "p_partkey", "line": "CASE p_partkey % 9 WHEN 8 THEN concat('no box ', p_partkey) ELSE concat('BBox ', p_partkey, ': [', p_partkey % 400, ', ', p_partkey % 300, ', ', p_partkey % 400 + 20, ', ', p_partkey % 300, ', ', p_partkey % 400 + 20, ', ', p_partkey % 300 + 9, ', ', p_partkey % 400, ', ', p_partkey % 300 + 9, '], Text: ', CASE p_partkey % 7 WHEN 0 THEN 'Stairs' WHEN 1 THEN 'lift' WHEN 2 THEN 'elev' WHEN 3 THEN 'hall' WHEN 4 THEN 'na' ELSE concat('10', p_partkey % 90) END, ', Confidence: 0.', 1000 + p_partkey % 9000) END"}),
-    "v_listing": ("part", "true", {"path": "concat('results/', CASE p_partkey % 3 WHEN 0 THEN 'a/' WHEN 1 THEN 'b/' ELSE '' END, 'plan', floor(p_partkey / 4), CASE p_partkey % 4 WHEN 0 THEN '_post_pruning.json' WHEN 1 THEN CASE WHEN p_partkey % 8 = 1 THEN '_pre_pruning.json' ELSE '_timer_info.txt' END WHEN 2 THEN CASE WHEN p_partkey % 5 = 2 THEN '_final_graph.json' ELSE '.PNG' END ELSE '.xyz' END)", "image": "concat('plan', floor(p_partkey / 4))", "name": "concat('plan', floor(p_partkey / 4), CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_partkey % 3 = 0 THEN '.txt' ELSE '_post_pruning.json' END WHEN 1 THEN CASE WHEN p_partkey % 8 = 1 THEN '_pre_pruning.json' ELSE '_timer_info.txt' END WHEN 2 THEN CASE WHEN p_partkey % 5 = 2 THEN '_final_graph.json' ELSE '.PNG' END ELSE '.xyz' END)"}),
+    "v_listing": ("part", "true", {"path": "concat('results/', CASE p_partkey % 3 WHEN 0 THEN 'a/' WHEN 1 THEN 'b/' ELSE '' END, 'plan', CAST(floor(p_partkey / 4) AS BIGINT), CASE p_partkey % 4 WHEN 0 THEN '_post_pruning.json' WHEN 1 THEN CASE WHEN p_partkey % 8 = 1 THEN '_pre_pruning.json' ELSE '_timer_info.txt' END WHEN 2 THEN CASE WHEN p_partkey % 5 = 2 THEN '_final_graph.json' ELSE '.PNG' END ELSE '.xyz' END)", "image": "concat('plan', CAST(floor(p_partkey / 4) AS BIGINT))", "name": "concat('plan', CAST(floor(p_partkey / 4) AS BIGINT), CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_partkey % 3 = 0 THEN '.txt' ELSE '_post_pruning.json' END WHEN 1 THEN CASE WHEN p_partkey % 8 = 1 THEN '_pre_pruning.json' ELSE '_timer_info.txt' END WHEN 2 THEN CASE WHEN p_partkey % 5 = 2 THEN '_final_graph.json' ELSE '.PNG' END ELSE '.xyz' END)"}),
     "v_map": ("nation", "true", {"line_no": "CAST(n_nationkey AS BIGINT)", "line": "CASE n_nationkey % 8 WHEN 6 THEN '# a comment' WHEN 7 THEN '(1, broken' ELSE concat('  (', n_nationkey % 3 - 1, ', FF part ', n_nationkey % 4, '.png, stairs_', n_nationkey % 5, ') : (', n_nationkey % 3 + CASE n_nationkey % 5 WHEN 0 THEN 1 ELSE 0 END, ', SF part ', n_nationkey % 4, '.png, stairs_', n_nationkey, ') ') END"}),
 }
 

@@ -17,9 +17,14 @@ def latest_stream(events: DataFrame, name: str, checkpoint: str):
     return latest(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
 
 
+def stage_counts(events: DataFrame, width: str = "1 hour") -> DataFrame:
+    """(at, event_type, n): events per window, by its start, and stage."""
+    return events.groupBy(F.window(F.col("ts"), width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("at"), "event_type", "n")
+
+
 def stage_counts_stream(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events per window and stage; rows later than the watermark are left out."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+    """The same over a stream; rows later than the watermark are left out."""
+    return stage_counts(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), width)
 
 
 def replay(edits: DataFrame) -> DataFrame:

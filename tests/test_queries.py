@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corridora import catalog
+from corridora import catalog, catalog_parts  # noqa: F401  (it registers queries)
 from corridora.functions import text as T
 from corridora.operators import spatial
 
@@ -26,13 +26,15 @@ def canon(rows, names):
     def one(v):
         if v is None or (isinstance(v, float) and math.isnan(v)):
             return "null"
+        if type(v).__name__ == "Decimal":
+            v = float(v)
         return f"{v:.6g}" if isinstance(v, float) else str(v)
 
     order = sorted(range(len(names)), key=lambda i: names[i])
     return sorted(tuple(one(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["r2c_door_nearest", "hall_knn4", "merge_clusters", "lattice_edges8", "door_class", "timer_metrics", "mapping_issues", "sssp_distance", "connectivity_score", "view_edges", "lattice_nodes_clear_of_walls", "latest_stage"])
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, con, name):
     df = catalog.QUERIES[name](spark, SF)
     cur = con.execute(catalog.ORACLES[name])
@@ -91,7 +93,7 @@ def test_pruning_keeps_distances(spark):
 
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "id long, x long, y long")
-    assert spatial.radius_join(none, none, 5).count() == 0 and spatial.nearest_any(none, none).count() == 0
+    assert spatial.radius_join(none, none, 5).count() == 0 and spatial.nearest_any(spark, none, none).count() == 0
 
 
 def test_prune_keeps_what_rooms_exits_and_transitions_need(spark):
@@ -137,3 +139,100 @@ def test_prune_of_a_small_floor(spark):
     # rooms a-c1-c2-b, exit from b (as many steps from a are more), t over the door and then to c2, u anew to c3
     want = {("a", "c1"): 2, ("c1", "c2"): 2, ("b", "c2"): 2, ("c2", "c3"): 2, ("c3", "e"): 2, ("b", "d"): 1, ("d", "t"): 1, ("c2", "t"): 4, ("c3", "u"): 5}
     assert got == want
+
+
+def test_funnel_keeps_the_shortest_way_of_each_node(spark):
+    from corridora.operators import paths
+
+    lattice = catalog.QUERIES["funnel_lattice"](spark, SF).collect()
+    kept = catalog.QUERIES["funnel_kept_edges"](spark, SF).collect()
+    rooms = {r.room for r in lattice}
+    assert rooms and len(kept) <= len(lattice)
+    for room in rooms:
+        frame = lambda rows: __import__("pandas").DataFrame(rows, columns=["src", "dst", "weight"])
+        weight = {(r.src, r.dst): r.d2**0.5 for r in lattice if r.room == room}
+        mine = [(r.src, r.dst, weight[r.src, r.dst]) for r in kept if r.floor == int(room[5:])]
+        full, web = paths.adjacency(frame([(*e, w) for e, w in weight.items()])), paths.adjacency(frame(mine))
+        want, got = paths.dijkstra(full, room)[0], paths.dijkstra(web, room)[0]
+        assert want.keys() == got.keys() and all(abs(want[v] - got[v]) < 1e-9 for v in want)
+        assert len(mine) == len(want) - 1  # a tree
+
+
+def test_greedy_merge_goes_by_the_order(spark):
+    from corridora.operators import raster
+
+    boxes = {"a": (0, 0, 10, 10), "b": (40, 0, 50, 10), "c": (8, 0, 42, 10), "far": (200, 200, 210, 210), "near": (212, 200, 222, 210)}
+    df = lambda order: spark.createDataFrame([(1, i, *boxes[k]) for i, k in enumerate(order)], "grp long, ord long, x1 long, y1 long, x2 long, y2 long")
+    got = lambda order: sorted((r.x1, r.y1, r.x2, r.y2) for r in raster.greedy_merge(df(order)).collect())
+    # c joins a, the first that it touches; b stays alone if it came before, and joins if it comes after
+    assert got(["a", "b", "c"]) == [(0, 0, 42, 10), (40, 0, 50, 10)]
+    assert got(["a", "c", "b", "far", "near"]) == [(0, 0, 50, 10), (200, 200, 222, 210)]
+
+
+def test_geodesic_partition_equals_breadth_first_search(spark):
+    from collections import deque
+
+    from corridora.operators import raster
+
+    wall = {(1, x) for x in range(1, 6)}
+    mask = [(y, x) for y in range(4) for x in range(7) if (y, x) not in wall]
+    seeds = [("p", 0, 0), ("q", 3, 6), ("beside", 1, 3)]
+    got = {(r.y, r.x): (r.label, r.steps) for r in raster.geodesic_partition(spark.createDataFrame([(0, *p) for p in mask], "img long, y long, x long"), spark.createDataFrame([(0, *s) for s in seeds], "img long, label string, y long, x long")).collect()}
+    steps = {}
+    for label, y, x in seeds[:2]:
+        d, queue = {(y, x): 0}, deque([(y, x)])
+        while queue:
+            a, b = queue.popleft()
+            for p in ((a - 1, b), (a + 1, b), (a, b - 1), (a, b + 1)):
+                if p in mask and p not in d:
+                    d[p] = d[a, b] + 1
+                    queue.append(p)
+        steps[label] = d
+    assert set(got) == set(mask)
+    for p, (label, n) in got.items():
+        assert n == steps[label][p] == min(d[p] for d in steps.values())
+
+
+def test_routes_are_ways_of_their_length(spark):
+    edges, _ = catalog._floor_graph(spark, SF)
+    weight = {}
+    for e in edges.collect():
+        weight[e.src, e.dst] = min(e.weight, weight.get((e.src, e.dst), 9e9))
+    ways = {}
+    for r in catalog.QUERIES["route_paths"](spark, SF).collect():
+        ways.setdefault((r.source, r.target), {})[r.step] = r.node
+    assert ways
+    for (a, b), way in ways.items():
+        nodes = [way[i] for i in range(len(way))]
+        assert (nodes[0], nodes[-1]) == (a, b) and all((min(u, v), max(u, v)) in weight for u, v in zip(nodes, nodes[1:]))
+
+
+def test_ring_seeds(spark):
+    from corridora.operators import masks
+
+    regions = spark.createDataFrame([(0, y, x, 900 if x < 60 else 60) for y in range(100) for x in range(100) if 40 <= x < 60 or x >= 75], "img long, y long, x long, area long")
+    nodes = spark.createDataFrame([("in", 0, 50.5, 50.0), ("beside", 0, 20.0, 50.0), ("poor", 0, 110.0, 50.0), ("lost", 0, 500.0, 500.0)], "id string, img long, x double, y double")
+    got = {}
+    for r in masks.ring_seeds(nodes, regions, first=20, last=40, step=10).orderBy("id", "n").collect():
+        got.setdefault(r.id, []).append((r.x, r.y))
+    assert got["in"][0] == (50, 50) and 1 < len(got["in"]) <= 12 and got["lost"] == [(500, 500)]
+    assert got["beside"][0] == (40, 50) and all(40 <= x < 60 for x, _ in got["beside"])
+    assert len(got["poor"]) == 4 and all(x >= 75 for x, _ in got["poor"])
+
+
+def test_score_of_an_empty_graph(spark):
+    from corridora.operators import stats
+
+    none = spark.createDataFrame([], "id string, comp long, room boolean, exit boolean")
+    assert [tuple(r) for r in stats.connectivity_score(none).collect()] == [(100, 0, 0, 0, 0)]
+    rows = [("a", 1, True, False), ("b", 1, True, False), ("c", 3, True, False), ("d", 4, False, True), ("e", 4, True, False), ("f", 6, False, False)]
+    # a, b are the network; c and f stand alone; of d and e the room and the exit are cut off
+    assert [tuple(r) for r in stats.connectivity_score(spark.createDataFrame(rows, "id string, comp long, room boolean, exit boolean")).collect()] == [(33, 2, 1, 1, 4)]
+
+
+def test_unknown_types_are_errors(spark):
+    from corridora.operators import building
+
+    bad = spark.createDataFrame([(1, "a", "attic", None, 0, 0)], "seq long, id string, type string, floor string, x long, y long")
+    with pytest.raises(Exception, match="unknown node type attic"):
+        building.add_nodes(bad, "1").collect()
