@@ -2,13 +2,22 @@
 
 Words become a template: numbers `#n`, units after a number `#u`, capitalised words inside a sentence `#w`, all else in
 lower case. Windows of eight template tokens are hashed (pairs of pairs of pairs) and hash-joined with the benchmark's
-windows, of which those with five literal words at least count. A match is kept if its slots are consistent: over all
-matched windows of one alignment, equal placeholders of the item stand for equal words of the document. A document is
-a leak of an item if three windows match, or all windows that the item has.
-
-Nulls and edge cases: null and empty texts, and items under eight words, match nothing; benchmark items with one text
-are one item, the smallest id; rows are judged by their own text even if a doc_id repeats, and equal rows give one row
-per item; a null doc_id is carried along; empty tables give no rows; other columns are ignored.
+windows; an item of fewer words is one window of its own length. An item's first word counts as a name too where it
+looks like one, as it may stand inside a sentence of the document. A match is kept if its slots are consistent: over
+all matched windows of one alignment, equal placeholders of the item stand for equal words of the document.
+
+Windows with LITERALS literal words at least are telling. A document is a leak of an item if MIN_WINDOWS telling windows
+match, or all telling windows that the item has, or all its windows, telling or not: so items that are mostly slots, or
+short, are found by their whole template. Items without a window of FEW literal words have no template to speak of;
+their windows are of plain lower-case words, and all of them must match.
+
+The window lengths and kinds to look for (at most 16) come from the items, so texts are scanned for short and for plain
+windows only where there are such items.
+
+Nulls and edge cases: null and empty texts, and items without a word, match nothing; benchmark items with one text are
+looked for once and reported under each of their ids; rows are judged by their own text even if a doc_id repeats, and
+equal rows give one row per item; a null doc_id is carried along; a very long text is one row's work in the scan, whose
+windows leave one by one; empty tables give no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +29,7 @@ from .common import bundled, written
 
 WINDOW = 8  # a power of two: hashes are doubled up
 LITERALS = 5
+FEW = 2
 MIN_WINDOWS = 3
 #: Benchmark windows up to which they are broadcast; beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -62,51 +72,111 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def windows(tmpl: Column) -> Column:
-    """The hash of each window of the template, by its start."""
+def windows(toks: Column, size: int = WINDOW) -> Column:
+    """The hash of each window of the tokens, by its start."""
+
+    def joined(a: Column, b: Column, k: int) -> Column:
+        rest = F.greatest(F.size(b) - k, F.lit(0))
+        return F.zip_with(F.slice(a, F.lit(1), rest), F.slice(b, F.lit(k + 1), rest), lambda x, y: F.xxhash64(x, y))
 
     def doubled(h: Column, k: int) -> Column:
-        if k == WINDOW:
-            return h
-        rest = F.greatest(F.size(h) - k, F.lit(0))
-        return let(F.zip_with(F.slice(h, F.lit(1), rest), F.slice(h, F.lit(k + 1), rest), lambda a, b: F.xxhash64(a, b)), lambda x: doubled(x, 2 * k))
+        return h if k == size else let(joined(h, h, k), lambda x: doubled(x, 2 * k))
+
+    def longer(h: Column, one: Column, k: int) -> Column:
+        return h if k == size else let(joined(h, one, k), lambda x: longer(x, one, k + 1))
+
+    hashed = F.transform(toks, lambda t: F.xxhash64(t))
+    if size & (size - 1) == 0:
+        return let(hashed, lambda h: doubled(h, 1))
+    return let(hashed, lambda h: longer(h, h, 1))
+
+
+def text_windows(text: Column, kinds: list[tuple[bool, int]] | None = None) -> Column:
+    """(pos, w, kind) of all windows of the text, for each kind (plain words or template, length), in one array."""
+    kinds = [(False, WINDOW)] if kinds is None else kinds
+
+    def of(p: Column, m: Column, k: int) -> Column:
+        plain, size = kinds[k]
+        toks = F.transform(p, F.lower) if plain else m
+        return F.transform(windows(toks, size), lambda w, i: F.struct(i.alias("pos"), w.alias("w"), F.lit(k).alias("kind")))
+
+    return let(tokens(text), lambda t: let(words(t), lambda p: let(template(t, p), lambda m: F.concat(*[of(p, m, k) for k in range(len(kinds))]))))
+
+
+def _items(bench: DataFrame) -> DataFrame:
+    """(item, text, p, m, name, plain, size, starts): each distinct text with a word once, as words and template.
 
-    return let(F.transform(tmpl, lambda t: F.xxhash64(t)), lambda h: doubled(h, 1))
+    name: the template's first token as a name, or null; plain: it has no window of FEW literal words; size: of its
+    windows; starts: of its windows.
+    """
+    texts = bench.where("text IS NOT NULL").select("text").distinct().withColumn("item", F.xxhash64("text"))
+    whole = let(tokens(F.col("text")), lambda t: let(words(t), lambda p: F.struct(p.alias("p"), template(t, p).alias("m"))))
+    texts = texts.select("item", "text", whole.alias("s")).select("item", "text", "s.p", "s.m").where(F.size("p") > 0)
+    first = F.col("p")[0]
+    letter, second = F.substring(first, 1, 1), F.substring(first, 2, 1)
+    name = F.when((letter != F.lower(letter)) & (second != "") & (second == F.lower(second)), "#w")
+    size = F.least(F.size("m"), F.lit(WINDOW))
+    starts = F.sequence(F.lit(0), F.size("m") - size)
+    literal = lambda i: F.size(F.filter(F.slice("m", i + 1, size), lambda t: ~t.startswith("#")))
+    plain = ~F.exists(starts, lambda i: literal(i) >= FEW)
+    return texts.select("*", name.alias("name"), plain.alias("plain"), size.alias("size"), F.transform(starts, lambda i: F.struct(i.alias("ipos"), (literal(i) >= F.least(F.lit(LITERALS), size)).alias("telling"))).alias("starts"))
 
 
-def text_windows(text: Column) -> Column:
-    return let(tokens(text), lambda t: let(words(t), lambda p: let(template(t, p), windows)))
+def _window_at(toks: Column, start: Column, size: int) -> Column:
+    return F.get(windows(F.slice(toks, start + 1, F.lit(size)), size), F.lit(0))
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame, min_windows: int = MIN_WINDOWS) -> DataFrame:
-    """(doc_id, text_hash, item_id, n_windows, item_windows, coverage): one row for each document and item that it leaks."""
-    items = bench.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    whole = let(tokens(F.col("text")), lambda t: let(words(t), lambda p: let(template(t, p), lambda m: F.struct(p.alias("p"), m.alias("m"), windows(m).alias("w")))))
-    items = written(spark, items.select("item_id", whole.alias("s")), "items")
-    places = items.select("item_id", F.col("s.m").alias("_m"), F.posexplode("s.w").alias("ipos", "w"))
-    literal = F.size(F.filter(F.slice("_m", F.col("ipos") + 1, WINDOW), lambda t: ~t.startswith("#")))
-    places = written(spark, places.where(literal >= LITERALS).select("item_id", "ipos", "w"), "windows")
+    """(doc_id, text_hash, item_id, n_windows, item_windows, coverage): one row for each document and item that it leaks;
+    coverage is the share of the item's windows that match."""
+    items = written(spark, _items(bench), "items")
+    kinds = sorted((r["plain"], r["size"]) for r in items.select("plain", "size").distinct().collect())  # 2 * WINDOW at most
+    kinds = kinds or [(False, WINDOW)]
+    parts = []
+    for k, (plain, size) in enumerate(kinds):
+        own = items.where((F.col("plain") == plain) & (F.col("size") == size)).select("*", F.explode("starts").alias("s"))
+        toks = F.transform("p", F.lower) if plain else F.col("m")
+        sets = [own.select("item", "s.ipos", "s.telling", F.lit(k).alias("kind"), _window_at(toks, F.col("s.ipos"), size).alias("w"))]
+        if not plain:
+            named = F.concat(F.array("name"), F.slice("m", 2, size - 1)) if size > 1 else F.array("name")
+            sets.append(own.where("s.ipos = 0 AND name IS NOT NULL").select("item", "s.ipos", "s.telling", F.lit(k).alias("kind"), _window_at(named, F.lit(0), size).alias("w")))
+        parts += sets
+    places = parts[0]
+    for x in parts[1:]:
+        places = places.unionByName(x)
+    places = written(spark, places, "windows")
     small = places.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda x: x)
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    scan = keyed.select("doc_id", "th", F.posexplode_outer(text_windows(F.col("text"))).alias("pos", "w"))
-    met = scan.join(hint(places), "w").groupBy("doc_id", "th", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("at"))
+    scan = keyed.select("doc_id", "th", F.explode(text_windows(F.col("text"), kinds)).alias("x")).select("doc_id", "th", "x.pos", "x.w", "x.kind")
+    at = F.collect_set(F.struct("ipos", "telling")).alias("at")
+    met = scan.join(hint(places), ["w", "kind"]).groupBy("doc_id", "th", "item", (F.col("pos") - F.col("ipos")).alias("shift")).agg(at)
     met = written(spark, met, "matches")
 
     hit = met.select("doc_id", "th").distinct().withColumnRenamed("doc_id", "_d").withColumnRenamed("th", "_h")
     texts = keyed.join(hit, (F.col("th") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").dropDuplicates(["doc_id", "th"])
     texts = texts.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), words(tokens(F.col("text"))).alias("dp"))
-    own = items.select("item_id", F.col("s.m").alias("im"), F.col("s.p").alias("ip"))
-    both = met.join(texts, (F.col("th") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))).join(hint(own), "item_id")
-    inside = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (WINDOW - 1)))))
-    slots = F.filter(inside, lambda k: F.get("im", k).startswith("#"))
-    pairs = F.array_distinct(F.transform(slots, lambda k: F.struct(F.concat(F.get("im", k), F.lower(F.get("ip", k))).alias("i"), F.lower(F.get("dp", k + F.col("shift"))).alias("d"))))
-    fits = let(pairs, lambda x: F.size(x) == F.size(F.array_distinct(F.transform(x, lambda y: y["i"]))))
-    good = both.where(fits).select("doc_id", "th", "item_id", F.explode("at").alias("ipos"))
-    n_windows = places.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    found = good.groupBy("doc_id", "th", "item_id").agg(F.count_distinct("ipos").alias("n_windows")).join(hint(n_windows), "item_id")
-    return found.where(F.col("n_windows") >= F.least(F.lit(min_windows), F.col("item_windows"))).select("doc_id", F.col("th").alias("text_hash"), "item_id", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"))
+    own = items.select("item", F.col("m").alias("im"), F.col("p").alias("ip"), "size")
+    both = met.join(texts, (F.col("th") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))).join(hint(own), "item")
+
+    def steady(places: Column) -> Column:
+        """Whether equal placeholders of the item stand for equal words of the document, in these windows."""
+        inside = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p["ipos"], p["ipos"] + F.col("size") - 1))))
+        slots = F.filter(inside, lambda k: F.get("im", k).startswith("#"))
+        pairs = F.array_distinct(F.transform(slots, lambda k: F.struct(F.concat(F.get("im", k), F.lower(F.get("ip", k))).alias("i"), F.lower(F.get("dp", k + F.col("shift"))).alias("d"))))
+        return let(pairs, lambda x: F.size(x) == F.size(F.array_distinct(F.transform(x, lambda y: y["i"]))))
+
+    # where the windows do not agree together, those that are telling may
+    telling = F.filter("at", lambda p: p["telling"])
+    good = both.select("doc_id", "th", "item", F.when(steady(F.col("at")), F.col("at")).when(steady(telling), telling).alias("at")).where("at IS NOT NULL")
+    found = good.select("doc_id", "th", "item", F.explode("at").alias("p")).groupBy("doc_id", "th", "item").agg(F.count_distinct("p.ipos").alias("n_windows"), F.count_distinct(F.when(F.col("p.telling"), F.col("p.ipos"))).alias("_t"))
+    sizes = items.select("item", "text", F.size("starts").cast("long").alias("item_windows"), F.size(F.filter("starts", lambda s: s["telling"])).alias("_of"), "plain")
+    found = found.join(hint(sizes), "item")
+    enough = (F.col("n_windows") == F.col("item_windows")) | (~F.col("plain") & (F.col("_of") > 0) & (F.col("_t") >= F.least(F.lit(min_windows), F.col("_of"))))
+    named = bench.where("text IS NOT NULL").select("item_id", "text").distinct()
+    out = found.where(enough).join(named, "text")
+    return out.select("doc_id", F.col("th").alias("text_hash"), "item_id", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame) -> DataFrame:

@@ -35,33 +35,44 @@ def plain_template(toks):
 
 
 def plain_leaks(docs, bench):
-    items = {}
+    """(doc, text, item, matched windows, windows of the item)."""
+    items = collections.defaultdict(set)
     for i, t in bench:
         if t is not None:
-            items[t] = min(i, items.get(t, i))
+            items[t].add(i)
     out = set()
-    for item_text, item in items.items():
+    for item_text, ids in items.items():
         it = plain_tokens(item_text)
-        im = plain_template(it)
-        own = [p for p in range(len(im) - 7) if sum(x[0] != "#" for x in im[p : p + 8]) >= 5]
+        if not it:
+            continue
+        im, size = plain_template(it), min(8, len(it))
+        starts = range(len(im) - size + 1)
+        literals = [sum(x[0] != "#" for x in im[p : p + size]) for p in starts]
+        plain = max(literals) < 2
+        telling = {p for p in starts if literals[p] >= min(5, size)}
+        own = [x[0].lower() for x in it] if plain else im
+        first = it[0][0]
+        named = ["#w", *im[1:]] if not plain and first[0] != first[0].lower() and first[1:2] and first[1] == first[1].lower() else None
         for d, t in docs:
             dt = plain_tokens(t or "")
-            dm = plain_template(dt)
+            dm = [x[0].lower() for x in dt] if plain else plain_template(dt)
             at = collections.defaultdict(set)
-            for p in range(len(dm) - 7):
-                for q in own:
-                    if dm[p : p + 8] == im[q : q + 8]:
+            for p in range(len(dm) - size + 1):
+                for q in starts:
+                    if dm[p : p + size] == own[q : q + size] or (q == 0 and named and dm[p : p + size] == named[:size]):
                         at[p - q].add(q)
             good = set()
-            for shift, starts in at.items():
-                slots = collections.defaultdict(set)
-                for k in {q + j for q in starts for j in range(8)}:
-                    if im[k][0] == "#":
-                        slots[im[k], it[k][0].lower()].add(dt[k + shift][0].lower())
-                if all(len(s) == 1 for s in slots.values()):
-                    good |= starts
-            if own and len(good) >= min(3, len(own)):
-                out.add((d, t, item, len(good), len(own)))
+            for shift, found in at.items():
+                for some in (found, found & telling):
+                    slots = collections.defaultdict(set)
+                    for k in {q + j for q in some for j in range(size)}:
+                        if im[k][0] == "#":
+                            slots[im[k], it[k][0].lower()].add(dt[k + shift][0].lower())
+                    if all(len(s) == 1 for s in slots.values()):
+                        good |= some
+                        break
+            if len(good) == len(starts) or (not plain and telling and len(good & telling) >= min(3, len(telling))):
+                out |= {(d, t, i, len(good), len(starts)) for i in ids}
     return out
 
 
@@ -72,7 +83,7 @@ def test_leaks_equal_brute_force(spark, seed):
 
     def item():
         out = []
-        for i in range(rng.randint(6, 40)):
+        for i in range(rng.choice([2, 3, 5, 6, 7, 9, 12, 40])):
             kind = rng.random()
             out.append(rng.choice("{A} {B}".split()) if kind < 0.12 else rng.choice(["{1} {u}", "{2}", "{1}"]) if kind < 0.25 else rng.choice(common) + rng.choice(["", "", "", ",", ". The", "? \"", "!"]))
         return " ".join(out)
@@ -84,13 +95,15 @@ def test_leaks_equal_brute_force(spark, seed):
 
     shapes = [item() for _ in range(12)]
     bench = [(i, fill(s)) for i, s in enumerate(shapes)] + [(50, None), (51, ""), (52, "too short")]
-    bench += [(60, bench[3][1]), (61, " ".join(["again and"] * 10))]
+    bench += [(60, bench[3][1]), (61, " ".join(["again and"] * 10)), (62, "7 40 3.5 1998 7 7 40 1998 1,000 7"), (63, "What is 12 + 35?"), (64, "In 1998 Alice sold 40 kg and Bertha sold 30 kg"), (65, "7 40")]
     docs = [(i, " ".join(rng.choice([" ".join(rng.choices(common, k=9)), fill(rng.choice(shapes), rng.random() < 0.6), fill(rng.choice(shapes))[rng.randint(0, 40) :]]) for _ in range(rng.randint(0, 4)))) for i in range(60)]
+    docs += [(70, "so 7 40 3.5 1998 7 7 40 1998 1,000 7 it was"), (71, "so 7 40 3.5 1998 7 7 41 1998 1,000 7 it was"), (72, "they ask What is 7 + 9? and"), (73, "in 2003 Claude sold 5 kg and Émile sold 6 kg"), (74, "In 2003 Claude sold 5 kg and Alice sold 6 lb")]
     docs += [docs[5], (5, "another text under this id"), (90, None), (91, ""), (92, "again and " * 30)]
     want = plain_leaks(docs, bench)
     got = decontaminate.find_leaks(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(bench, "item_id long, text string")).collect()
     # equal rows give one row per item; a doc_id with two texts is judged by each
     assert sorted((r.doc_id, r.item_id, r.n_windows, r.item_windows) for r in got) == sorted((d, i, n, m) for d, _, i, n, m in want)
+    assert {(70, 62), (72, 63), (73, 64)} <= {(d, i) for d, _, i, _, _ in want} and not {(71, 62), (74, 64)} & {(d, i) for d, _, i, _, _ in want}
     assert len(want) > 20 and all(math.isclose(r.coverage, r.n_windows / r.item_windows) for r in got)
 
 
