@@ -2,10 +2,11 @@
 
 Codes: vectors are centred and projected on rotations learned by iterative quantisation on a bounded sample (SAMPLE
 vectors, the least hashes of all); TURNS rotations give TURNS * dimensions bits. Each code is cut into 16-bit
-substrings, and every substring is an index of its own: values in order, with the codes that hold them. A code within
-RADIUS bits of the query differs from it by RADIUS // substrings bits at most in one substring at least (pigeonhole),
-so probing each index at that distance retrieves every code within the radius. What is retrieved and within the radius
-is ranked again on the float vectors. A query that finds too few codes in a shard widens its radius there.
+substrings, and every substring is an index of its own: a table of all 2^16 values with the codes that hold them. A
+query probes each table at the values within FLIPS bits of its own, one by one: by the pigeonhole principle this
+retrieves every code within substrings * (FLIPS + 1) - 1 bits (and others, of which it wants to know no more). All that
+is retrieved is ranked again on the float vectors, in double precision. A query that retrieves fewer than ENOUGH codes
+of a shard probes farther, bit by bit, until it has as many or all; so a small table is searched whole.
 
 Equal vectors are one entry with its smallest ids (one more than are asked for, which is all that ties can use), so a
 vector that a third of all rows share costs what one vector costs. Entries lie in shards and distinct query vectors in
@@ -13,7 +14,8 @@ blocks; each block meets each shard as one piece of work, and the best of all sh
 
 Nulls and edge cases: vectors that are null, zero or hold null or non-finite components take no part, nor do vectors
 of another length than the most frequent one, nor null ids; of rows that repeat an id with one vector one counts;
-ties go to smaller ids; with fewer candidates than asked for all are returned; an empty table gives no rows.
+ties go to smaller ids; with fewer candidates than asked for all are returned; an empty table gives no rows; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +30,18 @@ from pyspark.sql import functions as F
 from .common import session, written
 
 K = 20
-TURNS = 4
-RADIUS = 112
+TURNS = 6
+FLIPS = 3
+ENOUGH = 2_500
 SAMPLE = 20_000
 ITERATIONS = 15
-SHARD_ROWS = 16_384
-BLOCK_ROWS = 2_048
+SHARD_ROWS = 65_536
+BLOCK_ROWS = 512
 SUB = 16
-_POP = np.array([bin(i).count("1") for i in range(1 << SUB)], np.uint8)
+_POP = np.array([i.bit_count() for i in range(1 << SUB)], np.uint8)
+#: All differences of a substring, those of fewer bits first, and where those of each number of bits begin.
+_FLIPPED = np.argsort(_POP, kind="stable").astype(np.int64)
+_FROM = np.searchsorted(_POP[_FLIPPED], np.arange(SUB + 2))
 
 
 def learn_rotations(x: np.ndarray, turns: int = TURNS, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray]:
@@ -60,92 +66,95 @@ def encode(x: np.ndarray, mean: np.ndarray, matrix: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Substring tables over codes."""
+    """Substring tables over codes: for each table and value the codes that hold it, as a stretch of one list."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.tables = []
-        for j in range(codes.shape[1]):
-            order = np.argsort(codes[:, j], kind="stable")
-            values, begin = np.unique(codes[order, j], return_index=True)
-            self.tables.append((values, order, np.diff(np.append(begin, len(order)))))
-
-    def within(self, query: np.ndarray, radius: int) -> np.ndarray:
-        """rows of query x codes: whether the code is within the radius."""
-        reach = radius // self.codes.shape[1]
-        got = np.zeros((len(query), len(self.codes)), bool)
-        for j, (values, order, sizes) in enumerate(self.tables):
-            near = _POP[query[:, j][:, None] ^ values[None, :]] <= reach
-            got[:, order] |= np.repeat(near, sizes, axis=1)
-        q, c = np.nonzero(got)
-        for lo in range(0, len(q), 2_000_000):
-            hi = lo + 2_000_000
-            far = _POP[query[q[lo:hi]] ^ self.codes[c[lo:hi]]].sum(1, dtype=np.int32) > radius
-            got[q[lo:hi][far], c[lo:hi][far]] = False
-        return got
-
-
-def _search(k: int, model, radius: int):
+        self.n, self.m = codes.shape
+        self.codes = np.argsort(codes, axis=0, kind="stable").T.astype(np.int32).ravel()
+        self.starts = np.zeros((self.m, (1 << SUB) + 1), np.int32)
+        for j in range(self.m):
+            np.cumsum(np.bincount(codes[:, j], minlength=1 << SUB), out=self.starts[j, 1:])
+
+    def probed(self, query: np.ndarray, low: int, high: int) -> np.ndarray:
+        """The codes, with repeats, whose substring differs from the query's in low to high bits, in some table."""
+        j = np.arange(self.m)[:, None]
+        value = query.astype(np.int64)[:, None] ^ _FLIPPED[None, _FROM[low] : _FROM[high + 1]]
+        begin = self.starts[j, value]
+        size = (self.starts[j, value + 1] - begin).ravel()
+        begin = (begin + j * self.n).ravel()
+        some = np.flatnonzero(size)
+        begin, size = begin[some], size[some]
+        return self.codes[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+    def retrieved(self, query: np.ndarray, flips: int, enough: int) -> np.ndarray:
+        """The codes that differ from the query in `flips` bits at most in some substring; more bits where these are too few."""
+        seen = np.zeros(self.n, bool)
+        low, high = 0, min(flips, SUB)
+        while True:
+            seen[self.probed(query, low, high)] = True
+            found = np.flatnonzero(seen)
+            if len(found) >= min(enough, self.n):
+                return found
+            low = high = high + 1
+
+
+def _search(k: int, model, flips: int, enough: int):
     def run(shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qh": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "scores": pd.Series(dtype=object)})
         if not len(shard) or not len(queries):
-            return empty
+            return pd.DataFrame({"qh": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "scores": pd.Series(dtype=object), "seen": pd.Series(dtype="int64")})
         mean, matrix = model.value
-        x = np.stack(shard["v"].to_numpy()).astype(np.float64)
-        q = np.stack(queries["v"].to_numpy()).astype(np.float64)
+        x, q = (np.stack(v.to_numpy()).astype(np.float64) for v in (shard["v"], queries["v"]))
         ids = shard["ids"].to_numpy()
         index, code = Index(encode(x, mean, matrix)), encode(q, mean, matrix)
-        want = min(k + 1, len(x))
-        out = []
-        for lo in range(0, len(q), 128):
-            part = slice(lo, lo + 128)
-            got = index.within(code[part], radius)
-            r = radius
-            while (short := got.sum(1) < want).any():
-                r = min(r + 16, code.shape[1] * SUB)
-                got[short] = index.within(code[part][short], r)
-            for i in range(len(got)):
-                c = np.flatnonzero(got[i])
-                score = x[c] @ q[lo + i]
-                if len(c) > want:  # all that tie with the last one wanted stay
-                    cut = np.partition(score, len(c) - want)[len(c) - want]
-                    c, score = c[score >= cut], score[score >= cut]
-                n = [len(ids[j]) for j in c]
-                s, v = np.repeat(score, n), np.concatenate([ids[j] for j in c])
-                o = np.lexsort((v, -s))[: k + 1]
-                out.append((queries["qh"].iat[lo + i], v[o], s[o]))
-        return pd.DataFrame(out, columns=["qh", "ids", "scores"])
+        want, out = min(k + 1, len(x)), []
+        for i in range(len(q)):
+            c = found = index.retrieved(code[i], flips, enough)
+            score = x[c] @ q[i]
+            if len(c) > want:  # all that tie with the last one wanted stay
+                cut = np.partition(score, len(c) - want)[len(c) - want]
+                c, score = c[score >= cut], score[score >= cut]
+            n = [len(ids[j]) for j in c]
+            s, v = np.repeat(score, n), np.concatenate([ids[j] for j in c])
+            o = np.lexsort((v, -s))[: k + 1]
+            out.append((queries["qh"].iat[i], v[o], s[o], len(found)))
+        return pd.DataFrame(out, columns=["qh", "ids", "scores", "seen"])
 
     return run
 
 
-def nearest(spark: SparkSession, df: DataFrame, every: int, key: str = "vec_id", vector: str = "embedding", k: int = K, radius: int = RADIUS) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, its k nearest other rows by inner product."""
+def searched(spark: SparkSession, df: DataFrame, every: int, key: str = "vec_id", vector: str = "embedding", k: int = K, flips: int = FLIPS, enough: int = ENOUGH) -> tuple[DataFrame, DataFrame]:
+    """(asked, best): (id, h) of the queries, and for each vector hash h (qh, best array<struct<m, id>>, seen, n): the
+    nearest of all rows, itself included, the entries that were retrieved, and all entries."""
     session(spark)
-    ok = F.col("v").isNotNull() & F.col("id").isNotNull() & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
-    good = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(ok)
+    whole = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    number = F.transform("v", lambda e: e.cast("double"))
+    ok = F.col("v").isNotNull() & F.col("id").isNotNull() & F.forall(number, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(number, lambda e: e != 0)
+    good = whole.where(ok)
     sizes = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     dims = sizes[0]["n"] if sizes else 0
-    good = good.where(F.size("v") == dims).withColumn("h", F.xxhash64("v"))
-    good = written(spark, good, "vectors")
+    good = written(spark, good.where(F.size("v") == dims).withColumn("h", F.xxhash64("v")), "vectors")
 
     sample = good.orderBy("h").limit(SAMPLE).select("v").toPandas()["v"]
-    x = np.stack(sample.to_numpy()) if len(sample) else np.zeros((0, max(dims, 1)))
+    x = np.stack(sample.to_numpy()).astype(np.float64) if len(sample) else np.zeros((0, max(dims, 1)))
     model = spark.sparkContext.broadcast(learn_rotations(x))
 
     first = F.row_number().over(Window.partitionBy("h").orderBy("id"))
     entries = good.dropDuplicates(["id", "h"]).withColumn("r", first).where(F.col("r") <= k + 1).groupBy("h").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("id")).alias("ids"))
     entries = written(spark, entries, "entries")
-    asked = good.where(F.col("id") % every == 0).select("id", "h").distinct()
-    asked = written(spark, asked, "asked")
+    asked = written(spark, good.where(F.col("id") % every == 0).select("id", "h").distinct(), "asked")
     query = written(spark, entries.join(asked.select("h").distinct(), "h", "left_semi").select(F.col("h").alias("qh"), "v"), "queries")
-    n_shards = max(1, -(-entries.count() // SHARD_ROWS))
-    n_blocks = max(1, -(-query.count() // BLOCK_ROWS))
+    n = entries.count()
+    n_shards, n_blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-query.count() // BLOCK_ROWS))
     shards = entries.withColumn("s", F.pmod(F.hash("h"), F.lit(n_shards))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     blocks = query.withColumn("b", F.pmod(F.hash("qh"), F.lit(n_blocks))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    found = shards.groupBy("s", "b").cogroup(blocks.groupBy("s", "b")).applyInPandas(_search(k, model, radius), "qh long, ids array<long>, scores array<double>")
+    found = shards.groupBy("s", "b").cogroup(blocks.groupBy("s", "b")).applyInPandas(_search(k, model, flips, enough), "qh long, ids array<long>, scores array<double>, seen long")
     pair = F.transform(F.arrays_zip("ids", "scores"), lambda x: F.struct((-x["scores"]).alias("m"), x["ids"].alias("id")))
-    best = found.groupBy("qh").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pair))), 1, k + 1).alias("best"))
-    best = written(spark, best, "best")
+    best = found.groupBy("qh").agg(F.slice(F.array_sort(F.flatten(F.collect_list(pair))), 1, k + 1).alias("best"), F.sum("seen").alias("seen"))
+    return asked, written(spark, best.withColumn("n", F.lit(n)), "best")
+
+
+def nearest(spark: SparkSession, df: DataFrame, every: int, key: str = "vec_id", vector: str = "embedding", k: int = K, flips: int = FLIPS, enough: int = ENOUGH) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, its k nearest other rows by inner product."""
+    asked, best = searched(spark, df, every, key, vector, k, flips, enough)
     rows = asked.join(best, asked["h"] == best["qh"]).select(F.col("id").alias("query_id"), F.slice(F.filter("best", lambda x: x["id"] != F.col("id")), 1, k).alias("best"))
     return rows.select("query_id", F.posexplode("best").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.m")).alias("score"))
