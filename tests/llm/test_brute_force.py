@@ -175,3 +175,26 @@ def test_base_phrases_equal_brute_force(spark):
     assert sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got), key=key) == sorted(((d, *plain(t)) for d, t in rows), key=key)
     for r in got:
         assert r.labels == ",".join(sorted(set(r.labels.split(",")))) and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_license_labels_equal_brute_force(spark):
+    """Own labels and score: all matches of all signatures, without those inside another that is longer, or first in the list."""
+    rng = random.Random(13)
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    signs = [(i, label, re.compile(f" {regex}(?= )"), key) for i, label, regex, key in licenses.signatures()]
+    phrases = ["MIT License", "GNU General Public License", "version 3", "v2 or later", "Apache License, Version 2.0", "CC BY-SA 4.0", "CC by", "Creative Commons Attribution 3.0", "all rights reserved", "Copyright 2019 Acme Corp. All rights reserved", "the BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification", "Permission is hereby granted, free of charge, to any person obtaining a copy", "WTFPL", "SPDX-License-Identifier: MIT", "public domain", "released into the public domain", "mit", "licensed under the Apache License", "LGPL 2.1", "Mozilla Public License 2.0", "some rights reserved", "classpath exception", "the terms", "é", "license"]
+    rows = [(i, "".join(rng.choice(phrases) + rng.choice([" ", ", ", "\n", ". ", "; "]) for _ in range(rng.choice([0, 1, 2, 5, 25])))) for i in range(250)] + [(900, None), (901, "plain words alone")]
+
+    def plain(text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(lower))
+        n = " " + " ".join(words) + " "
+        base = {label for p, label in licenses.BASE if f" {p} " in n}
+        spans = sorted((m.start(), -m.end(), i, label) for i, label, rx, key in signs if key in n for m in rx.finditer(n))
+        kept = [x for x in spans if not any(y is not x and y[0] <= x[0] and -y[1] >= -x[1] and ((y[0], y[1]) != (x[0], x[1]) or y[2] < x[2]) for y in spans)]
+        covered = {k for a, b, *_ in kept for k in range(a, -b)}
+        return ",".join(sorted(base | {x[3] for x in kept})), round(len(covered) / len(n), 9) if words else 0.0
+
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = {d: plain(t) for d, t in rows}
+    assert {r.doc_id: (r.labels, round(r.score, 9)) for r in got} == want
+    assert len({x for v, _ in want.values() for x in v.split(",")}) > 15
