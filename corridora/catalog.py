@@ -520,12 +520,13 @@ def sssp_distance(spark, sf):
 
 
 def _pairs(spark, sf):
+    """The query set, ids divisible by 50, against all other places of their floors."""
     n = view(spark, sf, "v_lattice").withColumn("floor", F.floor(F.col("y") / 200))
-    a = n.where("k % 100 = 3").select("floor", F.col("id").alias("source"))
-    return a.join(n.where("k % 100 = 91").select("floor", F.col("id").alias("target")), "floor")
+    a = n.where("k % 50 = 0").select("floor", F.col("id").alias("source"))
+    return a.join(n.select("floor", F.col("id").alias("target")), "floor").where("source <> target")
 
 
-@query(ctes("v_lattice") + f", n AS (SELECT id, k, x, y, CAST(floor(y / 200) AS BIGINT) AS floor FROM v_lattice), p AS (SELECT a.floor, a.id AS source, b.id AS target, abs(a.x - b.x) / 20 AS dx, abs(a.y - b.y) / 20 AS dy FROM n a JOIN n b ON a.floor = b.floor AND a.k % 100 = 3 AND b.k % 100 = 91) SELECT floor, source, target, round({_OCTILE}, 4) AS distance, CAST(greatest(dx, dy) AS INTEGER) AS segments FROM p")
+@query(ctes("v_lattice") + f", n AS (SELECT id, k, x, y, CAST(floor(y / 200) AS BIGINT) AS floor FROM v_lattice), p AS (SELECT a.floor, a.id AS source, b.id AS target, abs(a.x - b.x) / 20 AS dx, abs(a.y - b.y) / 20 AS dy FROM n a JOIN n b ON a.floor = b.floor AND a.k % 50 = 0 AND a.id <> b.id) SELECT floor, source, target, round({_OCTILE}, 4) AS distance, CAST(greatest(dx, dy) AS INTEGER) AS segments FROM p")
 def route_info(spark, sf):
     r = paths.routes(_floor_lattice(spark, sf), _pairs(spark, sf))
     return r.select("floor", "source", "target", F.round("distance", 4).alias("distance"), "segments")
