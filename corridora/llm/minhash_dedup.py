@@ -218,7 +218,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked(sets: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
-    """Labels (the least index of the component) of sets, linked where 100 * intersection >= percent * union."""
+    """Labels (the least index of the component) of sets, linked where 100 * intersection >= percent * union.
+
+    Rows meet all others, until the rows that have not done so are all in one component: links between them would join
+    nothing. So a group of copies that are alike costs a few rows, not the square of the group.
+    """
     m = len(at) - 1
     size = np.diff(at)
     label = np.arange(m)
@@ -234,12 +238,18 @@ def linked(sets: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
     column = np.full(len(u), -1)
     column[dense] = np.arange(len(dense))
     row_at = np.searchsorted(owner, np.arange(m + 1))
-    step = max(1, min(512, CELLS // m))
-    for a in range(0, m, step):
-        b = min(m, a + step)
-        mine = slice(row_at[a], row_at[b])
-        rows, terms = owner[mine] - a, inv[mine]
-        count = np.zeros((b - a) * m, np.float32)
+    step, block = max(1, min(512, CELLS // m)), 16
+    waiting = np.ones(m, bool)
+    while True:
+        todo = np.flatnonzero(waiting & (label != np.bincount(label[waiting], minlength=m).argmax()))
+        if not len(todo):
+            return label
+        pick, block = todo[: min(step, block)], 2 * block
+        waiting[pick] = False
+        k = row_at[pick + 1] - row_at[pick]
+        mine = np.repeat(row_at[pick] - np.append(0, np.cumsum(k)[:-1]), k) + np.arange(k.sum())
+        rows, terms = np.repeat(np.arange(len(pick)), k), inv[mine]
+        count = np.zeros(len(pick) * m, np.float32)
         rare = column[terms] < 0
         reps = freq[terms[rare]]
         for lo, hi in _chunks(reps, CELLS):
@@ -247,15 +257,15 @@ def linked(sets: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
             k = reps[lo:hi]
             place = np.repeat(begin[t] - np.append(0, np.cumsum(k)[:-1]), k) + np.arange(k.sum())
             count += np.bincount(np.repeat(r, k) * m + post[place], minlength=len(count)).astype(np.float32)
-        count = count.reshape(b - a, m)
+        count = count.reshape(len(pick), m)
         for c in range(0, len(dense), 512):
             full = np.zeros((m, min(512, len(dense) - c)), np.float32)
             hit = (column[inv] >= c) & (column[inv] < c + 512)
             full[owner[hit], column[inv[hit]] - c] = 1
-            count += full[a:b] @ full.T
+            count += full[pick] @ full.T
         both = np.rint(count).astype(np.int64)
-        r, c = np.nonzero(100 * both >= percent * (size[a:b, None] + size[None, :] - both))
-        r = r + a
+        r, c = np.nonzero(100 * both >= percent * (size[pick, None] + size[None, :] - both))
+        r = pick[r]
         while len(r):
             x, y = label[r], label[c]
             r, c = r[x != y], c[x != y]
@@ -268,7 +278,6 @@ def linked(sets: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
             while (to[to] != to).any():
                 to = to[to]
             label = to[label]
-    return label
 
 
 def _chunks(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
