@@ -225,13 +225,13 @@ def region_area_centroid(spark, sf):
     return s.select("region", "area", *[F.round(c, 4).alias(c) for c in ("cx", "cy", "eq_radius")])
 
 
-@query(ctes("v_pixcode", "v_lattice") + """, wall AS (SELECT DISTINCT y, x FROM v_pixcode WHERE code >= 46 AND y % 40 < 4), free AS (SELECT id, k, x, y FROM v_lattice WHERE y < 400 AND x < 400
+@query(ctes("v_pixcode", "v_lattice") + """, wall AS (SELECT DISTINCT y, x FROM v_pixcode WHERE code = 47), free AS (SELECT id, k, x, y FROM v_lattice WHERE y < 400 AND x < 400
    AND NOT EXISTS (SELECT 1 FROM wall w WHERE abs(w.x - v_lattice.x) <= 7 AND abs(w.y - v_lattice.y) <= 7))
  SELECT concat('corridor_connect_', row_number() OVER (ORDER BY y, x)) AS id, x, y FROM free""")
 def lattice_nodes_clear_of_walls(spark, sf):
     """Lattice places outside the walls grown by 7, numbered row by row."""
-    walls = view(spark, sf, "v_pixcode").where("code >= 46 AND y % 40 < 4").select("y", "x").distinct()
-    grid = view(spark, sf, "v_lattice").where("y < 400 AND x < 400 AND y % 20 = 0 AND x % 20 = 0").select("x", "y")
+    walls = view(spark, sf, "v_pixcode").where("code = 47").select("y", "x").distinct()
+    grid = view(spark, sf, "v_lattice").where("y < 400 AND x < 400").select("x", "y")
     return stats.numbered(spark, grid.join(spatial.dilate(walls), ["y", "x"], "left_anti"), ["y", "x"], "n").select(F.concat(F.lit("corridor_connect_"), "n").alias("id"), "x", "y")
 
 

@@ -211,18 +211,18 @@ def degree_zero(spark, sf):
     return n.select("id").join(e.select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_anti")
 
 
-_FAMILY_FLOORS = ", fam2 AS (SELECT fam.room, fam.id, r.floor, fam.x, fam.y FROM fam JOIN v_rooms r ON r.id = fam.room), cor AS (SELECT id, k % 2 + 1 AS floor, x, y FROM v_lattice WHERE k % 10 = 0)"
+_FAMILY_FLOORS = ", fam2 AS (SELECT fam.room, fam.id, r.floor, fam.x, fam.y FROM fam JOIN v_rooms r ON r.id = fam.room), cor AS (SELECT id, k % 2 + 1 AS floor, x, y FROM v_lattice)"
 
 
 def _family_floors(spark, sf):
-    return _family(spark, sf).join(view(spark, sf, "v_rooms").select(F.col("id").alias("room"), "floor"), "room"), view(spark, sf, "v_lattice").where("k % 10 = 0").selectExpr("id", "k % 2 + 1 AS floor", "x", "y")
+    return _family(spark, sf).join(view(spark, sf, "v_rooms").select(F.col("id").alias("room"), "floor"), "room"), view(spark, sf, "v_lattice").selectExpr("id", "k % 2 + 1 AS floor", "x", "y")
 
 
 @query(ctes("v_rooms", "v_subnodes", "v_lattice") + _FAMILY + _FAMILY_FLOORS + """, p AS (SELECT f.room, f.id, c.id AS corridor, CAST((f.x-c.x)*(f.x-c.x)+(f.y-c.y)*(f.y-c.y) AS BIGINT) AS d2, f.floor = c.floor AS own FROM fam2 f, cor c)
  SELECT room, id, corridor, d2 FROM (SELECT *, row_number() OVER (PARTITION BY room ORDER BY own DESC, d2, id, corridor) AS n FROM p) q WHERE n = 1""")
 def family_to_corridor(spark, sf):
     """Floor 3 has no corridors, so its rooms take one of any floor."""
-    return building.family_to_corridor(*_family_floors(spark, sf))
+    return building.family_to_corridor(spark, *_family_floors(spark, sf))
 
 
 @query(ctes("v_rooms", "v_subnodes", "v_lattice") + _FAMILY + """, m AS (SELECT room, CAST(trunc(avg(x)) AS BIGINT) AS x, CAST(trunc(avg(y)) AS BIGINT) AS y FROM fam GROUP BY room),
@@ -374,7 +374,7 @@ def pre_post_by_floor(spark, sf):
     return stats.pre_post(n, n.where("type IN ('room', 'transition')"), timed)
 
 
-_TIMES = "SELECT o_orderkey % 40 AS k, concat('step_', o_orderkey % 12) AS step, round(sum(o_custkey % 100) / 100.0 - 3, 4) AS secs FROM orders WHERE o_orderkey < 4000000000 GROUP BY 1, 2"
+_TIMES = "SELECT o_orderkey % 40 AS k, concat('step_', o_orderkey % 12) AS step, round(sum(o_custkey % 100) / 100.0 - 3, 4) AS secs FROM orders GROUP BY 1, 2"
 
 
 @query(f"WITH t AS ({_TIMES}) SELECT step, secs, row_number() OVER (ORDER BY secs, step, k) AS place FROM t WHERE secs > 0.5")
@@ -767,7 +767,7 @@ def grown_regions(spark, sf):
     return m.join(comp, m["k"] == comp["node"], "left").select("id", F.coalesce("component", "k").alias("region"))
 
 
-@query(ctes("v_boxes").replace("WITH ", "WITH RECURSIVE ", 1) + """, b AS (SELECT * FROM v_boxes WHERE grp < 40), reach(n, c) AS (SELECT ord, ord FROM b UNION SELECT q.ord, reach.c FROM reach JOIN b p ON p.ord = reach.n JOIN b q ON q.grp = p.grp AND q.x1 <= p.x2 AND p.x1 <= q.x2 AND q.y1 <= p.y2 AND p.y1 <= q.y2 AND q.ord > reach.c),
+@query(ctes("v_boxes").replace("WITH ", "WITH RECURSIVE ", 1) + """, b AS (SELECT * FROM v_boxes), reach(n, c) AS (SELECT ord, ord FROM b UNION SELECT q.ord, reach.c FROM reach JOIN b p ON p.ord = reach.n JOIN b q ON q.grp = p.grp AND q.x1 <= p.x2 AND p.x1 <= q.x2 AND q.y1 <= p.y2 AND p.y1 <= q.y2 AND q.ord > reach.c),
  l AS (SELECT n, min(c) AS c FROM reach GROUP BY n) SELECT grp, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n FROM b JOIN l ON l.n = b.ord GROUP BY grp, c""")
 def touching_box_groups(spark, sf):
     """Boxes that touch, directly or over others, as one box."""

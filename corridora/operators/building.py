@@ -12,6 +12,9 @@ from .stats import numbered
 TYPES = ["room", "door", "corridor", "outside", "transition"]
 DOOR_CLASSES = ["exit", "c2c", "r2c", "r2r"]
 
+#: Pixels that lie between two floors in a search for the nearest node of the same floor; more than an image has.
+FLOORS_APART = 1 << 24
+
 
 def subnode(id: Column) -> Column:
     return id.contains("_subnode_")
@@ -68,14 +71,18 @@ def door_nodes(doors: DataFrame) -> DataFrame:
     return some.select("building", F.row_number().over(all_).cast("long").alias("ord"), F.concat("door_class", F.lit("_door_"), F.row_number().over(mine)).alias("id"), half("x1", "x2").alias("x"), half("y1", "y2").alias("y"))
 
 
-def family_to_corridor(family: DataFrame, corridors: DataFrame) -> DataFrame:
+def family_to_corridor(spark: SparkSession, family: DataFrame, corridors: DataFrame) -> DataFrame:
     """(room, id, corridor, d2): per room (room, id, floor, x, y) the pair of a family node and a corridor node (id, floor,
-    x, y) that are nearest, on one floor if there is such a pair. Corridors are met floor by floor, then over all."""
-    c = corridors.select(F.col("id").alias("corridor"), F.col("floor").alias("cf"), F.col("x").alias("cx"), F.col("y").alias("cy"))
-    d2 = ((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2).cast("long")
-    best = lambda pairs: pairs.withColumn("d2", d2).groupBy("room").agg(F.min(F.struct("d2", "id", "corridor")).alias("b"))
-    own = best(family.join(c, F.col("floor") == F.col("cf")))
-    rest = best(family.join(own.select("room"), "room", "left_anti").join(F.broadcast(c)))
+    x, y) that are nearest, on one floor if there is such a pair, and over all floors for rooms without one."""
+
+    def best(rows: DataFrame, apart: int) -> DataFrame:
+        placed = lambda d: d.select("id", "x", (F.col("y") + F.col("floor") * apart).alias("y"))
+        near = nearest_any(spark, placed(rows), placed(corridors))
+        pairs = rows.select("room", "id").join(near, F.col("id") == F.col("l_id"))
+        return pairs.groupBy("room").agg(F.min(F.struct("d2", "id", F.col("r_id").alias("corridor"))).alias("b"))
+
+    own = best(family.join(corridors.select("floor").distinct(), "floor", "left_semi"), FLOORS_APART)
+    rest = best(family.join(own.select("room"), "room", "left_anti"), 0)
     return own.unionByName(rest).select("room", "b.id", "b.corridor", "b.d2")
 
 
