@@ -50,6 +50,8 @@ TOKENS = 500_000  # of a stream
 SCORED_BYTES = 8 << 20  # of texts scored side by side
 SCORED_LANES = 4096
 RATE = 0.03
+ROWS = 1024  # of a softmax at a time, which stay in the processor's cache
+SAFE = 80.0  # exp of a number of this size, summed over HEAD words, is finite and above zero in single precision
 COMBINE = 8  # tasks that add up the weights of all others
 _END = b""  # no word is empty
 
@@ -114,102 +116,137 @@ def encode(ids: dict[bytes, int], tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(ids.get, chain(tokens, (_END,)), repeat(len(ids))), np.int32, len(tokens) + 1)
 
 
-def _step(p: dict, x: np.ndarray, h: np.ndarray):
+def _by_gate(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Input vectors and recurrent weights as (gate, row, HIDDEN), so that the numbers of a gate lie side by side."""
+    return tuple(np.ascontiguousarray(p[k].reshape(-1, 3, HIDDEN).transpose(1, 0, 2)) for k in "EU")
+
+
+def _step(p: dict, x: np.ndarray, h: np.ndarray, by_gate: tuple[np.ndarray, np.ndarray] | None = None):
     """One gated step for each lane: input word x, state h. Sigmoids are 0.5 * tanh(0.5 * x) + 0.5, in place."""
-    k = HIDDEN
-    e, u = p["E"][x], h @ p["U"]
-    gates = e[:, : 2 * k] + u[:, : 2 * k]
-    gates *= 0.5
-    np.tanh(gates, out=gates)
-    gates *= 0.5
-    gates += 0.5
-    z, r = gates[:, :k], gates[:, k:]
-    n = r * u[:, 2 * k :]
-    n += e[:, 2 * k :]
+    e, u = by_gate or _by_gate(p)
+    gates, u = e.take(x, axis=1), h @ u
+    zr, n = gates[:2], gates[2]
+    zr += u[:2]
+    zr *= 0.5
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
+    z, r = zr
+    n += r * u[2]
     np.tanh(n, out=n)
     new = h - n
     new *= z
     new += n
-    return z, r, n, u, new
+    return z, r, n, u[2], new
 
 
-def _log_softmax(a: np.ndarray, y: np.ndarray, slope: bool) -> np.ndarray:
-    """Log-probability of the target y in each row of a; with slope, a becomes its gradient."""
-    rows = np.arange(len(y))
-    target, top = a[rows, y], a.max(1)
-    a -= top[:, None]
+def _log_softmax(a: np.ndarray, y: np.ndarray, bound: float, slope: bool) -> np.ndarray:
+    """Log-probability of the target y in each column of a, whose size is at most bound; with slope, a becomes its gradient."""
+    cols = np.arange(len(y))
+    if bound > SAFE:
+        a -= a.max(0)
+    target = a[y, cols]
     np.exp(a, out=a)
-    total = a.sum(1)
+    total = a.sum(0)
     if slope:
-        a /= total[:, None]
-        a[rows, y] -= 1
-    return target - top - np.log(total)
+        a *= 1 / total
+        a[y, cols] -= 1
+    return target - np.log(total)
 
 
 def _outputs(net: Network, p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
     """Log-probability of each target, by class and word; with grad also the gradient of h, and sums into grad."""
-    order = np.argsort(net.cls[y], kind="stable")
-    h, y = h[order], y[order]
-    cls, slope = net.cls[y], grad is not None
-    a = h @ p["C"]
-    a += p["c"]
-    lp, dh = _log_softmax(a, cls, slope), None
-    if slope:
-        grad["C"] += h.T @ a
-        grad["c"] += a.sum(0)
-        dh = a @ p["C"].T
+    cls, slope, k = net.cls[y], grad is not None, HIDDEN
+    order = np.argsort(cls, kind="stable")
+    y, cls = y[order], cls[order]
+    # a row of ones takes the biases along
+    h1 = np.ones((k + 1, len(y)), h.dtype)
+    h1[:k] = h[order].T
+    outer, inner = np.vstack([p["C"], p["c"]]).T, np.column_stack([p["W"], p["w"]])
+    reach = max(1.0, float(np.abs(h).max(initial=0)))
+    bounds = [reach * float(np.abs(w).sum(1).max()) for w in (outer, inner)]
+    lp = np.empty(len(y), np.result_type(h, inner))
+    dh = np.empty((len(y), k), lp.dtype) if slope else None
+    for i in range(0, len(y), ROWS):
+        rows = slice(i, i + ROWS)
+        a = outer @ h1[:, rows]
+        lp[rows] = _log_softmax(a, cls[rows], bounds[0], slope)
+        if slope:
+            d = a @ h1[:, rows].T
+            grad["C"] += d[:, :k].T
+            grad["c"] += d[:, k]
+            dh[rows] = a.T @ outer[:, :k]
     cut = np.searchsorted(cls, np.arange(net.n_cls + 1))
     for c in np.flatnonzero(np.diff(cut)):
         words_ = slice(net.first[c], net.first[c + 1])
         if words_.stop - words_.start < 2:
             continue
-        rows = slice(cut[c], cut[c + 1])
-        w = p["W"][words_]
-        a = h[rows] @ w.T
-        a += p["w"][words_]
-        lp[rows] += _log_softmax(a, y[rows] - words_.start, slope)
-        if slope:
-            grad["W"][words_] += a.T @ h[rows]
-            grad["w"][words_] += a.sum(0)
-            dh[rows] += a @ w
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    return lp[back], dh[back] if slope else None
+        for i in range(cut[c], cut[c + 1], ROWS):
+            rows = slice(i, min(i + ROWS, cut[c + 1]))
+            a = inner[words_] @ h1[:, rows]
+            lp[rows] += _log_softmax(a, y[rows] - words_.start, bounds[1], slope)
+            if slope:
+                d = a @ h1[:, rows].T
+                grad["W"][words_] += d[:, :k]
+                grad["w"][words_] += d[:, k]
+                dh[rows] += a.T @ inner[words_, :k]
+    out, back = np.empty_like(lp), np.empty_like(dh) if slope else None
+    out[order] = lp
+    if slope:
+        back[order] = dh
+    return out, back
 
 
 def train_window(net: Network, p: dict, xs: np.ndarray, ys: np.ndarray, live: np.ndarray, h: np.ndarray, grad: dict, fresh: np.ndarray | None = None) -> np.ndarray:
     """Adds the gradients of one window (steps x lanes) and returns the state after it, cleared before the fresh steps."""
-    k, trace = HIDDEN, []
-    for s, x in enumerate(xs):
-        if fresh is not None:
-            h = np.where(fresh[s][:, None], np.float32(0), h)
-        z, r, n, u, new = _step(p, x, h)
-        trace.append((h, z, r, n, u, new))
-        h = new
-    states = np.stack([t[5] for t in trace])
+    k, trace, by_gate = HIDDEN, [], _by_gate(p)
     steps, lanes = xs.shape
-    rows = np.flatnonzero(live.ravel())
-    _, dh_rows = _outputs(net, p, states.reshape(-1, k)[rows], ys.ravel()[rows], grad)
-    dhs = np.zeros((steps * lanes, k), np.float32)
-    dhs[rows] = dh_rows
-    dhs = dhs.reshape(steps, lanes, k)
-    dh = np.zeros((lanes, k), np.float32)
-    des = [None] * steps
+    cleared = [np.flatnonzero(f) for f in fresh] if fresh is not None else [[]] * steps
+    before = np.empty((steps, lanes, k), np.result_type(h, p["U"]))
+    states = np.empty_like(before)
+    for s, x in enumerate(xs):
+        before[s] = h
+        before[s, cleared[s]] = 0
+        *gates, h = _step(p, x, before[s], by_gate)
+        trace.append(gates)
+        states[s] = h
+    dhs = np.zeros_like(before)
+    flat = dhs.reshape(-1, k)
+    if live.all():
+        flat[:] = _outputs(net, p, states.reshape(-1, k), ys.ravel(), grad)[1]
+    else:
+        rows = np.flatnonzero(live.ravel())
+        flat[rows] = _outputs(net, p, states.reshape(-1, k)[rows], ys.ravel()[rows], grad)[1]
+    back = by_gate[1].transpose(0, 2, 1)
+    des, dus = np.empty((3, *before.shape), before.dtype), np.empty_like(before)  # dus: of the last gate's recurrent part
+    dh = np.zeros((lanes, k), before.dtype)
     for s in range(steps - 1, -1, -1):
-        before, z, r, n, u, _ = trace[s]
-        d = dhs[s] + dh
-        dn = d * (1 - z) * (1 - n * n)
-        dz = d * (before - n) * z * (1 - z)
-        dr = dn * u[:, 2 * k :] * r * (1 - r)
-        des[s] = np.hstack([dz, dr, dn])
-        du = np.hstack([dz, dr, dn * r])
-        grad["U"] += before.T @ du
-        dh = d * z + du @ p["U"].T
-        if fresh is not None:
-            dh[fresh[s]] = 0
-    order = np.argsort(xs.ravel(), kind="stable")
-    words_met, begin = np.unique(xs.ravel()[order], return_index=True)
-    grad["E"][words_met] += np.add.reduceat(np.concatenate(des)[order], begin)
+        (z, r, n, u), (dz, dr, dn), du, d = trace[s], des[:, s], dus[s], dhs[s]
+        d += dh
+        keep = 1 - z
+        np.multiply(n, n, out=dn)
+        np.subtract(1, dn, out=dn)
+        dn *= keep
+        dn *= d
+        np.subtract(before[s], n, out=dz)
+        dz *= z
+        dz *= keep
+        dz *= d
+        np.multiply(dn, r, out=du)
+        np.subtract(1, r, out=dr)
+        dr *= u
+        dr *= du
+        dh = d * z
+        dh += dz @ back[0]
+        dh += dr @ back[1]
+        dh += du @ back[2]
+        dh[cleared[s]] = 0
+    came = before.reshape(-1, k).T
+    grad["U"] += np.hstack([came @ d.reshape(-1, k) for d in (des[0], des[1], dus)])
+    met = xs.ravel().astype(np.min_scalar_type(net.rare))
+    order = np.argsort(met, kind="stable")
+    words_met, begin = np.unique(met[order], return_index=True)
+    grad["E"][words_met] += np.add.reduceat(np.hstack([d.reshape(-1, k)[order] for d in des]), begin)
     return h
 
 
@@ -232,9 +269,15 @@ def train_rows(net: Network, weights: np.ndarray, texts: list[np.ndarray], rate:
         g = np.zeros_like(w)
         h = train_window(net, p, x[part], y[part], live[part], h, net.parts(g), fresh[part])
         g /= max(int(live[part].sum()), 1)
-        square = 0.95 * square + 0.05 * g * g
+        square *= 0.95
+        square += 0.05 * g * g
         turn += 1
-        w -= rate * g / (np.sqrt(square / (1 - 0.95**turn)) + 1e-4)
+        scale = square / (1 - 0.95**turn)
+        np.sqrt(scale, out=scale)
+        scale += 1e-4
+        g *= rate
+        g /= scale
+        w -= g
     return w, len(flat)
 
 
@@ -297,6 +340,7 @@ def _most_frequent(counts: DataFrame, limit: int) -> tuple[list[bytes], np.ndarr
 def score_texts(net: Network, weights: np.ndarray, texts: list[np.ndarray], limit: int = 16384) -> np.ndarray:
     """Natural log-probability of each text (word ids with the end), without the share of words inside `rare`."""
     p = net.parts(weights)
+    by_gate = _by_gate(p)
     out = np.zeros(len(texts))
     size = np.array([len(t) for t in texts])
     flat, begin = np.concatenate(texts), np.append(0, np.cumsum(size))[:-1]
@@ -315,7 +359,7 @@ def score_texts(net: Network, weights: np.ndarray, texts: list[np.ndarray], limi
             states, targets = [], []
             for t in range(s, s + steps):
                 m = int(live[t])
-                h = _step(p, prev[:m], h[:m])[4]
+                h = _step(p, prev[:m], h[:m], by_gate)[4]
                 prev = flat[at[:m] + t]
                 states.append(h)
                 targets.append(prev)
@@ -348,7 +392,8 @@ def _scan(model, extra: list[str]):
                 ws = words(t or b"")
                 x = encode(ids, ws)
                 coded.append(x)
-                rare += Counter([ws[i] if i < len(ws) else _END for i in np.flatnonzero(x == none)]).items()
+                ws.append(_END)
+                rare += Counter(map(ws.__getitem__, np.flatnonzero(x == none).tolist())).items()
                 sizes.append(len(rare))
             if not coded:
                 continue

@@ -197,6 +197,26 @@ def test_gru_probabilities_sum_to_one():
     assert math.isclose(np.exp(gru_lm._outputs(net, p, h, np.arange(5))[0]).sum(), 1, rel_tol=1e-4)
 
 
+@pytest.mark.parametrize("scale", [1, 300])
+def test_gru_softmaxes_are_small_and_right(monkeypatch, scale):
+    """Scores up to gru_lm.SAFE are not shifted, larger ones are; no softmax holds more than a megabyte."""
+    net = gru_lm.Network([b"", *[b"%d" % i for i in range(299)]], [9000 // (i + 1) for i in range(300)], 500)
+    rng = np.random.default_rng(2)
+    p = net.parts(((net.weights + rng.normal(0, 0.2, len(net.weights))) * scale).astype(np.float32))
+    h, y = rng.uniform(-1, 1, (20_000, gru_lm.HIDDEN)).astype(np.float32), rng.integers(0, 301, 20_000)
+    sizes, plain = [], gru_lm._log_softmax
+    monkeypatch.setattr(gru_lm, "_log_softmax", lambda a, *rest: sizes.append(a.nbytes) or plain(a, *rest))
+    got = gru_lm._outputs(net, p, h, y)[0]
+    assert max(sizes) <= 1 << 20
+    p, h = {k: v.astype(np.float64) for k, v in p.items()}, h.astype(np.float64)
+    for i in range(0, 20_000, 37):
+        words = slice(net.first[net.cls[y[i]]], net.first[net.cls[y[i]] + 1])
+        want = 0
+        for a, at in ((h[i] @ p["C"] + p["c"], net.cls[y[i]]), (p["W"][words] @ h[i] + p["w"][words], y[i] - words.start)):
+            want += a[at] - a.max() - np.log(np.exp(a - a.max()).sum())
+        assert math.isclose(got[i], want, rel_tol=1e-4, abs_tol=1e-3)
+
+
 def test_scores_equal_brute_force(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.randint(0, 60))) for i in range(40)] + [(50, None), (51, ""), (52, "unseen words"), (52, "unseen words"), (None, "x")]
