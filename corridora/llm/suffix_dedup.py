@@ -32,6 +32,7 @@ or carried along where `keep` names them, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, session, text_arrays, text_blocks, written
+from .common import BLOCK_BYTES, partitions, session, text_arrays, text_blocks, written
 
 LENGTH = 100
 GRAM = 16
@@ -89,10 +90,16 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+@functools.cache
+def _block_powers(base: int) -> np.ndarray:
+    return _powers(base, BLOCK_BYTES + 1)
+
+
 def range_hash(raw: np.ndarray):
     """A function (starts, ends) -> hashes of those byte ranges, equal for equal bytes wherever they stand."""
-    total, back = np.zeros(len(raw) + 1, np.uint64), _powers(_INV, len(raw) + 1)
-    np.cumsum(_TAB[raw] * _powers(_BASE, len(raw)), dtype=np.uint64, out=total[1:])
+    powers = _block_powers if len(raw) <= BLOCK_BYTES else lambda base: _powers(base, len(raw) + 1)
+    total, back = np.zeros(len(raw) + 1, np.uint64), powers(_INV)
+    np.cumsum(_TAB[raw] * powers(_BASE)[: len(raw)], dtype=np.uint64, out=total[1:])
     return lambda start, end: _mix((total[end] - total[start]) * back[start]) ^ (end - start).astype(np.uint64)
 
 
@@ -349,45 +356,44 @@ def suffix_intervals(raw: np.ndarray, lens: np.ndarray, length: int, doc: np.nda
     n = len(raw)
     ends = np.cumsum(lens)
     left = np.repeat(ends, lens) - np.arange(n)  # bytes to the string's end
-    word = np.zeros(n, np.uint64)
-    sym = raw.astype(np.uint64) + np.uint64(1)
-    for k in range(SYMBOLS):
-        part = np.zeros(n, np.uint64)
-        part[: n - k] = np.where(left[: n - k] > k, sym[k:], 0)
-        word |= part << np.uint64(9 * (SYMBOLS - 1 - k))
-    order = np.argsort(word)
-    new = np.append(True, word[order[1:]] != word[order[:-1]])
+    word = raw.astype(np.uint64) + np.uint64(1)
+    for k, symbols in ((1, 1), (2, 2), (4, SYMBOLS - 4)):  # words of k symbols, and as many or fewer of those that follow
+        after = np.where(left[: n - k] > k, word[k:] >> np.uint64(9 * (k - symbols)), 0) if n > k else word[:0]
+        word <<= np.uint64(9 * symbols)
+        word[: len(after)] |= after
+    open_ = np.argsort(word)
+    new = np.append(True, word[open_[1:]] != word[open_[:-1]])
     rank = np.empty(n, np.int32)  # of a class: the place of its first suffix
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank[open_] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     depth, ladder = SYMBOLS, [(SYMBOLS, rank)]
     while True:
-        # only classes of several suffixes, some of which go on beyond this depth, can still split
-        goes_on = np.zeros(n, bool)
-        goes_on[rank[left > depth]] = True
-        open_ = np.flatnonzero((np.bincount(rank, minlength=n)[rank] > 1) & goes_on[rank])
+        # only classes of several suffixes, some of which go on beyond this depth, can still split; open_ has them in order
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(open_)))
+        open_ = open_[np.repeat((size > 1) & np.logical_or.reduceat(left[open_] > depth, at), size)]
         if not len(open_):
             break
         after = np.where(left[open_] > depth, rank[np.minimum(open_ + depth, n - 1)].astype(np.int64) + 1, 0)
         old = rank[open_].astype(np.int64)
         key = old * (n + 1) + after
         o = np.argsort(key)
-        key, old = key[o], old[o]
+        key, old, open_ = key[o], old[o], open_[o]
         at = np.arange(len(o))
-        group = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), at, 0))
+        new = np.append(True, key[1:] != key[:-1])
+        group = np.maximum.accumulate(np.where(new, at, 0))
         home = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), at, 0))
         rank = rank.copy()
-        rank[open_[o]] = old + group - home
+        rank[open_] = old + group - home
         depth *= 2
         ladder.append((depth, rank))
     sa = np.flatnonzero(left >= length)
-    sa = sa[np.argsort(rank[sa], kind="stable")]
+    sa = np.sort(rank[sa].astype(np.int64) * n + sa) % n
     if len(sa) < 2:
         return sa, [], []
-    base = np.append(0, ends[:-1])
-    which = np.searchsorted(base, sa, side="right") - 1
-    order = np.empty(len(sa), np.int64)
-    order[np.lexsort((start[which] + sa - base[which], doc[which]))] = np.arange(len(sa))
-    a, b = sa[:-1].copy(), sa[1:].copy()
+    # neighbours of one class at the greatest depth up to `length`; no others have that many bytes in common
+    alike = next((r for d, r in reversed(ladder) if d <= length), None)
+    pairs = np.flatnonzero(alike[sa[1:]] == alike[sa[:-1]]) if alike is not None else np.arange(len(sa) - 1)
+    a, b = sa[pairs], sa[pairs + 1]
     room = np.minimum(left[a], left[b])
     lcp = np.zeros(len(a), np.int64)
     for d, r in reversed(ladder):
@@ -402,7 +408,6 @@ def suffix_intervals(raw: np.ndarray, lens: np.ndarray, length: int, doc: np.nda
     differs = np.append(0, np.cumsum(before[1:] != before[:-1]))
     groups: list[tuple[int, int, int]] = []
     later: list[tuple[int, int]] = []
-    diff, place = differs.tolist(), order.tolist()
     stack: list[list] = []  # open intervals, prefixes rising: prefix, first entry, earliest occurrence, those after it
 
     def join(top: list, best: int) -> None:
@@ -415,9 +420,22 @@ def suffix_intervals(raw: np.ndarray, lens: np.ndarray, length: int, doc: np.nda
             groups.append((top[0], top[1], end))
             later.extend([(x, top[0]) for x in top[3]])
 
-    near = np.flatnonzero(lcp >= length)
+    long_ = np.flatnonzero(lcp >= length)
+    near, lcp = pairs[long_], lcp[long_]
+    if len(near):
+        # of a run of them whose suffixes all follow one byte, no interval is left-diverse
+        at = np.flatnonzero(np.append(True, near[1:] != near[:-1] + 1))
+        size = np.diff(np.append(at, len(near)))
+        diverse = np.repeat(differs[near[at] + size] > differs[near[at]], size)
+        near, lcp = near[diverse], lcp[diverse]
+    base = np.append(0, ends[:-1])
+    met = np.union1d(near, near + 1)
+    which = np.searchsorted(base, sa[met], side="right") - 1
+    order = np.empty(len(met), np.int64)
+    order[np.lexsort((start[which] + sa[met] - base[which], doc[which]))] = np.arange(len(met))
+    diff, place = dict(zip(met.tolist(), differs[met].tolist())), dict(zip(met.tolist(), order.tolist()))
     last, first, best = -2, 0, 0  # first and best: of the subtree left of the present prefix
-    for i, v in zip(near.tolist(), lcp[near].tolist()):
+    for i, v in zip(near.tolist(), lcp.tolist()):
         if i != last + 1:
             while stack:
                 top = stack.pop()

@@ -107,6 +107,40 @@ def test_suffix_dedup_of_no_and_of_very_long_texts(spark):
     assert got[1].n_bytes > 3_000_000 and got[1].n_removed < 2000 and got[2].n_bytes - got[2].n_removed < 3
 
 
+def test_suffix_intervals_of_few_bytes_and_of_runs():
+    """What the intervals remove against all pairs of windows, for strings of few bytes, copies and runs of one letter."""
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        lens = rng.integers(1, int(rng.choice([3, 30, 80])), int(rng.integers(1, 6)))
+        raw = rng.integers(97, 97 + int(rng.choice([1, 2, 20])), lens.sum()).astype(np.uint8)
+        size = int(rng.integers(1, len(raw) + 1))
+        a, b = rng.integers(0, len(raw) - size + 1, 2)
+        raw[a : a + size] = raw[b : b + size].copy()
+        length, doc = int(rng.choice([1, 4, 9, 20])), rng.permutation(len(lens))
+        begin = np.cumsum(lens) - lens
+        windows = sorted((int(doc[i]), p, raw[begin[i] + p : begin[i] + p + length].tobytes()) for i in range(len(lens)) for p in range(lens[i] - length + 1))
+        seen, want = set(), set()
+        for d, p, w in windows:
+            want |= {(d, p + k) for k in range(length)} if w in seen else set()
+            seen.add(w)
+        sa, _, later = suffix_dedup.suffix_intervals(raw, lens, length, doc, np.zeros(len(lens), np.int64))
+        got = set()
+        for entry, prefix in later:
+            i = int(np.searchsorted(begin, sa[entry], side="right")) - 1
+            got |= {(int(doc[i]), int(sa[entry] - begin[i]) + k) for k in range(prefix)}
+        assert got == want
+
+
+def test_powers_of_the_hash_are_made_once_for_all_blocks(monkeypatch):
+    made, plain = [], suffix_dedup._powers
+    monkeypatch.setattr(suffix_dedup, "_powers", lambda base, n: made.append(n) or plain(base, n))
+    for text in (b"a text " * 40, b"another text " * 900, b"a text " * 40):
+        raw = np.frombuffer(text, np.uint8)
+        got = suffix_dedup.range_hash(raw)(np.array([0, 7, 1]), np.array([7, 14, 8]))
+        assert got[0] != got[2] and (text[:7] == text[7:14]) == (got[0] == got[1])
+    assert len(made) <= 2
+
+
 def test_maximal_repeats_hold_all_occurrences():
     text = b"xABCDEFyABCDEFzABCDEFyABC"
     raw, lens = np.frombuffer(text, np.uint8), np.array([len(text)])
