@@ -123,9 +123,12 @@ def segments(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     return d, start - off[d], end - start, least[start], range_hash(raw)(start, end)
 
 
-def pieces(raw: np.ndarray, start: np.ndarray, end: np.ndarray, minimiser: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(segment index, start, bytes, key, content hash) of the pieces of segments of a block, each of STEP windows at most."""
-    grams, hashed = _gram_hashes(raw), range_hash(raw)
+def pieces(raw: np.ndarray, start: np.ndarray, end: np.ndarray, minimiser: np.ndarray, length: int, hashed) -> tuple[np.ndarray, ...]:
+    """(segment index, start, bytes, key, content hash) of the pieces of segments of a block, each of STEP windows at most.
+
+    Windows without the minimiser, which only another text of the same doc_id has there, are in no piece.
+    """
+    grams = _gram_hashes(raw)
 
     def laid(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         which = np.repeat(np.arange(len(n)), n)
@@ -135,7 +138,13 @@ def pieces(raw: np.ndarray, start: np.ndarray, end: np.ndarray, minimiser: np.nd
     hit = np.flatnonzero(grams[at] == minimiser[which])
     first = np.cumsum(end - start - GRAM + 1) - (end - start - GRAM + 1)
     which, w = laid(end - start - length + 1)
-    anchor = at[hit[np.searchsorted(hit, first[which] + w - start[which])]]  # the next occurrence, which the window holds
+    place = first[which] + w - start[which]
+    gram = np.append(hit, len(at) + length)[np.searchsorted(hit, place)]  # the next occurrence, which the window holds
+    held = gram <= place + length - GRAM
+    which, w = which[held], w[held]
+    if not len(w):
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    anchor = at[gram[held]]
     piece = (anchor - w) // STEP
     new = np.append(True, (which[1:] != which[:-1]) | (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1]))
     begin = np.flatnonzero(new)
@@ -311,16 +320,17 @@ def _cut_out(length: int, n_parts: int):
             r = np.repeat(np.arange(len(ids)), cnt)
             ok = (off[r] + e) <= off[r + 1]  # rows that repeat a doc_id may be shorter
             s, e, m, hot, r = s[ok], e[ok], m[ok].view(np.uint64), hot[ok], r[ok]
+            hashed = range_hash(raw)
             for some in (~hot, hot):
                 if not some.any():
                     continue
                 sr, ss, se, sm = r[some], (off[r] + s)[some], (off[r] + e)[some], m[some]
                 if some is hot:
-                    which, ss, n, key, c = pieces(raw, ss, se, sm, length)
+                    which, ss, n, key, c = pieces(raw, ss, se, sm, length, hashed)
                     sr = sr[which]
                 else:
-                    # cold segments are first occurrences, so no two of a key have one content: their places stand for it
-                    n, key, c = se - ss, sm, _mix(ids[sr].astype(np.uint64) * np.uint64(_BASE) + s[some].astype(np.uint64))
+                    # cold segments are first occurrences, so only rows that repeat a doc_id have one content twice
+                    n, key, c = se - ss, sm, hashed(ss, se)
                 for i, j in _spans(n, PIECE_BYTES):
                     p = slice(i, j)
                     got = raw[np.repeat(ss[p] - (np.cumsum(n[p]) - n[p]), n[p]) + np.arange(n[p].sum())]
@@ -418,7 +428,7 @@ def suffix_intervals(raw: np.ndarray, lens: np.ndarray, length: int, doc: np.nda
     def close(top: list, end: int) -> None:
         if diff[end] > diff[top[1]]:
             groups.append((top[0], top[1], end))
-            later.extend([(x, top[0]) for x in top[3]])
+            later.extend([(x, top[0]) for x in top[3] if place[x] > place[top[2]]])
 
     long_ = np.flatnonzero(lcp >= length)
     near, lcp = pairs[long_], lcp[long_]
@@ -431,8 +441,11 @@ def suffix_intervals(raw: np.ndarray, lens: np.ndarray, length: int, doc: np.nda
     base = np.append(0, ends[:-1])
     met = np.union1d(near, near + 1)
     which = np.searchsorted(base, sa[met], side="right") - 1
+    doc, start = doc[which], start[which] + sa[met] - base[which]
+    o = np.lexsort((start, doc))
+    doc, start = doc[o], start[o]
     order = np.empty(len(met), np.int64)
-    order[np.lexsort((start[which] + sa[met] - base[which], doc[which]))] = np.arange(len(met))
+    order[o] = np.cumsum(np.append(0, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))[: len(o)])  # one place is as early as itself
     diff, place = dict(zip(met.tolist(), differs[met].tolist())), dict(zip(met.tolist(), order.tolist()))
     last, first, best = -2, 0, 0  # first and best: of the subtree left of the present prefix
     for i, v in zip(near.tolist(), lcp.tolist()):

@@ -99,6 +99,30 @@ def test_suffix_dedup_of_a_passage_in_many_documents(spark):
     assert {r.doc_id: tuple(r)[1:] for r in got} == plain_suffix_dedup(rows)
 
 
+def test_suffix_dedup_of_repeated_doc_ids(spark):
+    """Rows that repeat a doc_id are one document for the order, however they are dealt to tasks; a place is not earlier than itself."""
+    rng = random.Random(1)
+    x = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    other = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(50))
+    rows = [(1, x), (1, x), (2, x[:150] + "#" + x[151:]), (2, x[:150] + "#" + x[151:]), (3, other), (3, x[:200]), (1, x)]
+    want = [(1, 359, 0, 0)] * 3 + [(2, 359, 358, 2)] * 2 + [(3, 200, 200, 1), (3, 299, 200, 1)]
+    for df in (frame(spark, rows).coalesce(1), frame(spark, rows).repartition(4), frame(spark, rows[::-1]).repartition(3)):
+        assert sorted(tuple(r)[:4] for r in suffix_dedup.dedup_substrings(spark, df).collect()) == want
+
+
+def test_pieces_of_a_text_without_the_minimiser():
+    """A hot segment of one row is also looked for in the other rows of its doc_id."""
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(97, 123, (2, 180)).astype(np.uint8)
+    d, s, n, m, _ = suffix_dedup.segments(a, np.array([0, len(a)]), 100)
+    alone = suffix_dedup.pieces(a, s, s + n, m, 100, suffix_dedup.range_hash(a))
+    both = np.concatenate([a, b])
+    twice = [np.concatenate([v, w]) for v, w in ((s, s + 180), (s + n, s + n + 180), (m, m))]
+    got = suffix_dedup.pieces(both, *twice, 100, suffix_dedup.range_hash(both))
+    assert all((g == w).all() for g, w in zip(got, alone)) and [len(g) for g in got] == [len(w) for w in alone]
+    assert len(suffix_dedup.pieces(b, s, s + n, m, 100, suffix_dedup.range_hash(b))[0]) == 0
+
+
 def test_suffix_dedup_of_no_and_of_very_long_texts(spark):
     assert suffix_dedup.dedup_substrings(spark, frame(spark, []).limit(0), keep=["lang"]).collect() == []
     rng = random.Random(22)
