@@ -32,7 +32,6 @@ or carried along where `keep` names them, whatever their names.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -41,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, partitions, session, text_arrays, text_blocks, written
+from .common import partitions, session, text_arrays, text_blocks, written
 
 LENGTH = 100
 GRAM = 16
@@ -55,6 +54,7 @@ MANY = 256
 STEP = 4
 #: Bytes of pieces that a task holds before it combines and sends them.
 PIECE_BYTES = 4 << 20
+TABLE = 2048  # powers of the hash's base in a table
 SYMBOLS = 7  # of 9 bits in a word of the first rank
 
 _TAB = np.random.default_rng(20240229).integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,17 +90,25 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-@functools.cache
-def _block_powers(base: int) -> np.ndarray:
-    return _powers(base, BLOCK_BYTES + 1)
+def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high): the power of i is low[i % TABLE] * high[i // TABLE], for i up to n; no array of n powers is held."""
+    return _powers(base, TABLE), _powers(pow(base, TABLE, 1 << 64), n // TABLE + 1)
 
 
 def range_hash(raw: np.ndarray):
     """A function (starts, ends) -> hashes of those byte ranges, equal for equal bytes wherever they stand."""
-    powers = _block_powers if len(raw) <= BLOCK_BYTES else lambda base: _powers(base, len(raw) + 1)
-    total, back = np.zeros(len(raw) + 1, np.uint64), powers(_INV)
-    np.cumsum(_TAB[raw] * powers(_BASE)[: len(raw)], dtype=np.uint64, out=total[1:])
-    return lambda start, end: _mix((total[end] - total[start]) * back[start]) ^ (end - start).astype(np.uint64)
+    n = len(raw)
+    low, high = _power_tables(_BASE, n)
+    total = np.zeros(n + 1, np.uint64)
+    sums, whole = total[1:], n - n % TABLE
+    np.take(_TAB, raw, out=sums, mode="clip")
+    rows = sums[:whole].reshape(-1, TABLE)
+    rows *= low
+    rows *= high[: len(rows), None]
+    sums[whole:] *= low[: n - whole] * high[len(rows)]
+    np.cumsum(sums, out=sums)
+    low, high = _power_tables(_INV, n)
+    return lambda start, end: _mix((total[end] - total[start]) * (low[start % TABLE] * high[start // TABLE])) ^ (end - start).astype(np.uint64)
 
 
 def segments(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
