@@ -12,8 +12,8 @@ How equal strings meet without one global array:
 3. By minimiser, the first occurrence over all tasks stays; the others are whole repeats. A minimiser of which a task
    holds more than MANY contents is hot there: its segments go out by minimiser and content, to many tasks, and the
    minimiser's own task is told, so that it takes the segments which other tasks sent it for hot too.
-4. Minimisers with several distinct segment contents (the rims of passages, edited copies) go, with their bytes, into
-   an enhanced suffix array: ranks by prefix doubling, longest common prefixes by the ladder of ranks, a stack scan
+4. Minimisers with several distinct segment contents (the rims of passages, edited copies), and segments that hold
+   their minimiser twice (runs and periods, which may repeat inside themselves), go, with their bytes, into an enhanced suffix array: ranks by prefix doubling, longest common prefixes by the ladder of ranks, a stack scan
    that yields the common-prefix intervals, of which the left-diverse ones are the maximal repeats, with all
    occurrences. All occurrences of a group but the first are removed.
 5. Segments of hot minimisers, and of those with more bytes than half an array, are cut finer before that: a window
@@ -113,11 +113,17 @@ def range_hash(raw: np.ndarray):
 
 def segments(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(document index, start in the document, bytes, minimiser, content hash) of each segment of a block."""
+    return _segments(raw, off, length)[:5]
+
+
+def _segments(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """segments(), and whether each has several windows and its minimiser twice: only then can two of its windows be equal."""
     n = len(raw) - length + 1
-    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
     if n <= 0:
         return none
-    least = _slide_min(_gram_hashes(raw), length - GRAM + 1)
+    grams = _gram_hashes(raw)
+    least = _slide_min(grams, length - GRAM + 1)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
     valid = doc[:n] == doc[length - 1 :]
     new = valid.copy()
@@ -128,7 +134,15 @@ def segments(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     last = np.flatnonzero(valid & np.append(~valid[1:], True))
     end = np.minimum(np.append(start[1:] - 1, n - 1), last[np.searchsorted(last, start)]) + length
     d = doc[start]
-    return d, start - off[d], end - start, least[start], range_hash(raw)(start, end)
+    # a gram is the least of some window around it where the largest of their least ones, ~ the least of their ~, is itself
+    edge = np.full(length - GRAM, ~np.uint64(0))
+    hits = np.flatnonzero(~_slide_min(np.concatenate([edge, ~least, edge]), length - GRAM + 1) == grams)
+    at = np.searchsorted(hits, start)
+    held = np.searchsorted(hits, end - GRAM, side="right") - at
+    which = np.repeat(np.arange(len(start)), held)
+    hit = hits[np.arange(len(which)) - np.repeat(np.cumsum(held) - held, held) + at[which]]
+    twice = np.bincount(which[grams[hit] == least[start][which]], minlength=len(start)) > 1
+    return d, start - off[d], end - start, least[start], range_hash(raw)(start, end), twice & (end - start > length)
 
 
 def pieces(raw: np.ndarray, start: np.ndarray, end: np.ndarray, minimiser: np.ndarray, length: int, hashed) -> tuple[np.ndarray, ...]:
@@ -219,25 +233,25 @@ def _scan(length: int, n_parts: int):
         count = 0
 
         def flush():
-            d, s, n, m, c = (np.concatenate(x) for x in zip(*held))
+            d, s, n, m, c, rep = (np.concatenate(x) for x in zip(*held))
             held.clear()
             o, first, head = _firsts((m, c), d, s)
-            d, s, n, m, c = d[o], s[o], n[o], m[o], c[o]
+            d, s, n, m, c, rep = d[o], s[o], n[o], m[o], c[o], rep[o]
             again = (d != d[head]) | (s != s[head])
             rd, rs, re = merged(d[again], s[again], (s + n)[again])
-            d, s, n, m, c = d[first], s[first], n[first], m[first], c[first]
+            d, s, n, m, c, rep = d[first], s[first], n[first], m[first], c[first], rep[first]
             at = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
             kinds = np.diff(np.append(at, len(m)))
             hot = np.repeat(kinds > MANY, kinds)
             told = m[at[kinds > MANY]]
             part = _part(np.where(hot, _mix(m ^ (c * np.uint64(_BASE))), m), n_parts)
-            return _dealt(n_parts, (part, {"m": m, "c": c, "d": d, "s": s, "n": n.astype(np.int32), "hot": hot}), (_part(told, n_parts), {"told": told}), (rd % n_parts, {"rd": rd, "rs": rs, "re": re}))
+            return _dealt(n_parts, (part, {"m": m, "c": c, "d": d, "s": s, "n": n.astype(np.int32), "hot": hot, "rep": rep}), (_part(told, n_parts), {"told": told}), (rd % n_parts, {"rd": rd, "rs": rs, "re": re}))
 
         for rows, raw, off in text_blocks(batches, "text"):
-            d, s, n, m, c = segments(raw, off, length)
+            d, s, n, m, c, rep = _segments(raw, off, length)
             if len(d):
                 ids = rows.column(0).to_numpy(zero_copy_only=False)
-                held.append((ids[d], s, n, m, c))
+                held.append((ids[d], s, n, m, c, rep))
                 count += len(d)
             if count >= FLUSH:
                 count = 0
@@ -275,22 +289,22 @@ def _settle(length: int):
 
 def _settled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Of one part: whole repeats of a segment go; first occurrences of contested minimisers stay to be compared."""
-    x = _gathered(batches, {"m": np.uint64, "c": np.uint64, "d": np.int64, "s": np.int64, "n": np.int32, "hot": bool, "told": np.uint64, "rd": np.int64, "rs": np.int64, "re": np.int64})
-    m, c, d, s, n, hot = (x[k] for k in ("m", "c", "d", "s", "n", "hot"))
+    x = _gathered(batches, {"m": np.uint64, "c": np.uint64, "d": np.int64, "s": np.int64, "n": np.int32, "hot": bool, "rep": bool, "told": np.uint64, "rd": np.int64, "rs": np.int64, "re": np.int64})
+    m, c, d, s, n, hot, rep = (x[k] for k in ("m", "c", "d", "s", "n", "hot", "rep"))
     rd, rs, re = [x["rd"]], [x["rs"]], [x["re"]]
     if len(m):
         o, first, head = _firsts((m, c), d, s)
-        m, c, d, s, n, hot = m[o], c[o], d[o], s[o], n[o], hot[o]
+        m, c, d, s, n, hot, rep = m[o], c[o], d[o], s[o], n[o], hot[o], rep[o]
         again = (d != d[head]) | (s != s[head])
         rd.append(d[again]), rs.append(s[again]), re.append((s + n)[again])
         # a content that some task sent as hot is hot; so is all of a minimiser of which this task was told
         hot = np.logical_or.reduceat(hot, np.flatnonzero(first))
-        m, d, s, n = m[first], d[first], s[first], n[first].astype(np.int64)
+        m, d, s, n, rep = m[first], d[first], s[first], n[first].astype(np.int64), rep[first]
         at = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
         kinds = np.diff(np.append(at, len(m)))
         hot |= np.isin(m, x["told"]) | np.repeat((np.add.reduceat(n, at) > ARRAY_BYTES // 2) & (kinds > 1), kinds)
-        # a segment longer than the windows around one place repeats its minimiser, and may repeat inside itself
-        todo = hot | np.repeat(kinds > 1, kinds) | (n > 2 * length - GRAM)
+        # a segment that holds its minimiser twice may repeat inside itself
+        todo = hot | np.repeat(kinds > 1, kinds) | rep
         yield from _rows(d[todo], s[todo], (s + n)[todo], m[todo], hot[todo])
     yield from _rows(*merged(np.concatenate(rd), np.concatenate(rs), np.concatenate(re)))
 
@@ -519,7 +533,7 @@ def _groups(length: int):
             part = slice(lo, hi)
             size = n[part]
             lo = hi
-            if len(size) == 1 and size[0] <= 2 * length - GRAM:
+            if len(size) == 1 and size[0] <= length:
                 continue
             at = np.append(0, np.cumsum(size))
             raw = x["b"][np.repeat(base[part] - at[:-1], size) + np.arange(at[-1])]
@@ -544,7 +558,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH) -
     session(spark)
     n = partitions(spark, docs)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
-    scan = d.mapInArrow(_scan(length, n), "part int, m binary, c binary, d binary, s binary, n binary, hot binary, told binary, rd binary, rs binary, re binary")
+    scan = d.mapInArrow(_scan(length, n), "part int, m binary, c binary, d binary, s binary, n binary, hot binary, rep binary, told binary, rd binary, rs binary, re binary")
     settled = written(spark, scan.repartition(n, "part").mapInArrow(_settle(length), _SPANS), "segments")
     todo = settled.where("todo").groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "m", "hot")).alias("todo"))
     bytes_ = d.join(todo, "doc_id").select("doc_id", "text", "todo").mapInArrow(_cut_out(length, n), "part int, m binary, d binary, s binary, n binary, b binary, rd binary, rs binary, re binary")

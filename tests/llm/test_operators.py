@@ -110,6 +110,17 @@ def test_suffix_dedup_of_repeated_doc_ids(spark):
         assert sorted(tuple(r)[:4] for r in suffix_dedup.dedup_substrings(spark, df).collect()) == want
 
 
+def test_suffix_dedup_of_runs_and_periods(spark):
+    """Texts of 101 to 300 bytes that repeat inside themselves and nowhere else."""
+    rng = random.Random(31)
+    rows = [(i, c * n) for i, (c, n) in enumerate((("a", 101), ("b", 150), ("cd", 60), ("efg", 45), ("h", 184), ("i", 185)))]
+    rows += [(10 + p, (prose(rng, 60)[:p] * 300)[: p + 100 + rng.randint(0, 80)]) for p in (1, 5, 17, 40, 84, 85, 86, 120)]
+    rows += [(200 + i, prose(rng, 15) + c * 130 + prose(rng, 15)) for i, c in enumerate("-=_")]
+    got = suffix_dedup.dedup_substrings(spark, frame(spark, rows)).collect()
+    want = plain_suffix_dedup(rows)
+    assert {r.doc_id: tuple(r)[1:] for r in got} == want and want[0][1] == 100
+
+
 def test_pieces_of_a_text_without_the_minimiser():
     """A hot segment of one row is also looked for in the other rows of its doc_id."""
     rng = np.random.default_rng(3)
