@@ -377,6 +377,12 @@ def test_url_rules(spark):
     assert got == urls
 
 
+def test_url_rules_have_the_words_of_the_contract(spark):
+    want = {"http://x.com/en/1": "block", "http://a.example.com/en/7": "allow", "http://example.com/en/6": "block", "http://b.net/de/1": "allow", "http://example.net/de/8": "block", "http://c.org/es/": "block"}
+    got = url_filter.filter_urls(spark, spark.createDataFrame(list(enumerate(want)), "page_id long, url string")).collect()
+    assert {list(want)[r.page_id]: r.verdict for r in got} == want
+
+
 def test_each_alternative_of_a_url_pattern_blocks(spark):
     rng = random.Random(7)
     pieces = ["cart", "checkout", "add", "address", "added", "add2", "wp-admin", "wp-login", "print", "12", "casino.", "www.casino.x", "?replytocom=1", "&phpsessid=2", "?jsessionid=3", ";jsessionid=4", "?page=1&ref=2", "&utm_source=feed", "#", "?sort=asc", "&sort=desc", ".exe", ".msi", ".apk", ".MSI", ".exes", "x", "?sid=1", "?sessionid=2", "&session_id=a", "?gclid=", "?fbclid=1", "&msclkid=", "?utm_medium=x", "&utm_content=", "?share=email", "&share=reddit", "?share=emails", "?do=diff", "?do=login&", "?action=raw", "&action=edit", "?oldid=77", "?feed=atom", "feed/rss2", "feed/rdf/", "login", "signup", "logins", "wishlist/x", "basket/y", "cgi-bin/z", "xmlrpc.php", "trackback", "calendar/2020/11", "tag/a/page/2", ".zip", ".7z", ".gz?x", ".mp4", ".flac", ".png", ".webp#", "%20" * 12, "%20" * 11]
