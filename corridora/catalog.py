@@ -65,9 +65,7 @@ _ISOLATED = "SELECT * FROM {v} v WHERE NOT EXISTS (SELECT 1 FROM v_doors d WHERE
 
 def _isolated(spark, sf, name):
     """Rows without an edge to a door within 40."""
-    rows = view(spark, sf, name)
-    met = spatial.radius_join(rows.select("id", "x", "y"), view(spark, sf, "v_doors").where("subtype = 'r2c'").select("id", "x", "y"), 40)
-    return rows.join(met.select(F.col("l_id").alias("id")), "id", "left_anti")
+    return spatial.without_near(view(spark, sf, name), view(spark, sf, "v_doors").where("subtype = 'r2c'"), 40)
 
 
 @query(ctes("v_rooms", "v_doors", "v_lattice") + _knn_sql(_ISOLATED.format(v="v_rooms"), "SELECT * FROM v_lattice", 400, 1))
