@@ -96,10 +96,14 @@ def _merge_pairs(spark, sf):
 
 
 def _room_components(spark, sf):
-    """Each room with the first room of its cluster."""
-    comp = connected_components(spark, _merge_pairs(spark, sf), "a", "b")
+    """Each room with the first room of its cluster. Rooms of one place are in one cluster, so places are linked, each by
+    the first of its rooms."""
     rooms = view(spark, sf, "v_rooms")
-    return rooms.join(comp, rooms["k"] == comp["node"], "left").select(*rooms.columns, F.coalesce("component", "k").alias("comp"))
+    heads = rooms.groupBy("x", "y").agg(F.min("k").alias("k"))
+    near = spatial.radius_join(heads, heads, 50, strict=True).where("l_k < r_k").select(F.col("l_k").alias("a"), F.col("r_k").alias("b"))
+    comp = connected_components(spark, near, "a", "b").withColumnRenamed("node", "k")
+    first = heads.join(comp, "k", "left").select("x", "y", F.coalesce("component", "k").alias("comp"))
+    return rooms.join(first, ["x", "y"], "left").select(*rooms.columns, "comp")
 
 
 _COMPS = ctes("v_rooms").replace("WITH ", "WITH RECURSIVE ") + f""", pairs AS ({_PAIRS}), links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),

@@ -44,3 +44,17 @@ def test_nearest_any_and_without_near_of_piled_rows(spark, met):
     assert got == {(f"l{i}", "r0", 25 if i % 2 == 0 else 897**2 + 1) for i in range(60)}
     assert {r.id for r in spatial.without_near(left, right, 40).collect()} == {f"l{i}" for i in range(1, 60, 2)}
     assert max(n for pair in met for n in pair) == 2
+
+
+def rooms_of(monkeypatch, frame):
+    plain = catalog.view
+    monkeypatch.setattr(catalog, "view", lambda spark, sf, name: frame if name == "v_rooms" else plain(spark, sf, name))
+
+
+def test_components_of_piled_rooms(spark, monkeypatch, met):
+    """Rooms of a place, of places less than 50 apart in a chain, and of one exactly 50 away."""
+    rows = [(f"room_{k}", k, *[(0, 0), (40, 0), (90, 0), (400, 400)][k % 4], 1) for k in range(7, 107)]
+    rooms_of(monkeypatch, spark.createDataFrame(rows, "id string, k long, x long, y long, floor long"))
+    got = {r.id: r.comp for r in catalog.QUERIES["components"](spark, "").collect()}
+    assert got == {f"room_{k}": [8, 8, 10, 7][k % 4] for k in range(7, 107)}
+    assert met == [(4, 4)]
