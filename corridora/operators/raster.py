@@ -99,9 +99,12 @@ def geodesic_partition(pixels: DataFrame, seeds: DataFrame) -> DataFrame:
 def touching_groups(spark: SparkSession, boxes: DataFrame, cell: int = 64) -> DataFrame:
     """(grp, x1, y1, x2, y2, n): boxes (grp, ord, x1, y1, x2, y2) of a group that touch, directly or over others, as one box."""
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+    # equal boxes touch, so the first stands for all; one without an extent does not touch itself, and stands alone
+    alone = F.when((F.col("x1") > F.col("x2")) | (F.col("y1") > F.col("y2")), F.col("ord"))
+    boxes = boxes.groupBy("grp", "x1", "y1", "x2", "y2", alone.alias("_u")).agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
     laid = boxes.withColumn("_x", span("x1", "x2")).withColumn("_y", span("y1", "y2"))
     other = laid.select("grp", "_x", "_y", *[F.col(c).alias(f"o_{c}") for c in ("ord", "x1", "y1", "x2", "y2")])
     touch = (F.col("ord") < F.col("o_ord")) & (F.col("x1") <= F.col("o_x2")) & (F.col("o_x1") <= F.col("x2")) & (F.col("y1") <= F.col("o_y2")) & (F.col("o_y1") <= F.col("y2"))
     comp = connected_components(spark, laid.join(other, ["grp", "_x", "_y"]).where(touch).select("ord", "o_ord"), "ord", "o_ord")
     out = boxes.join(comp, F.col("ord") == F.col("node"), "left").withColumn("_c", F.coalesce("component", "ord"))
-    return out.groupBy("grp", "_c").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("n")).drop("_c")
+    return out.groupBy("grp", "_c").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.sum("n").alias("n")).drop("_c")
