@@ -126,12 +126,13 @@ def edited(nodes: DataFrame, edges: DataFrame, edits: DataFrame) -> tuple[DataFr
     of_edges = edits.where("op IN ('add_edge', 'delete_edge') AND a <> b").select(*pair, "seq", (F.col("op") == "add_edge").alias("stays"))
     of_edges = of_edges.unionByName(base(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).select(*pair)).withColumn("stays", F.lit(True)))
     # an addition counts if both ends stood then: the last event of each end before it was no deletion
-    ends = of_edges.withColumns({"_src": F.lit(None).cast("boolean"), "_dst": F.lit(None).cast("boolean")})
+    # by one pass over the events and additions of each node, in order, events first
+    ends = of_edges
     for end in ("src", "dst"):
-        events = of_nodes.select(F.col("id").alias(end), F.col("seq").alias("_s"), F.col("stays").alias("_f"))
-        met = ends.join(events, end, "left").withColumn("_s", F.when(F.col("_s") <= F.greatest("seq", F.lit(-1)), F.col("_s")))
-        others = [c for c in ends.columns if c != f"_{end}"]
-        ends = met.groupBy(*others).agg(F.max_by("_f", "_s").alias(f"_{end}"))
+        events = of_nodes.select(F.col("id").alias(end), "seq", F.lit(0).alias("_e"), F.col("stays").alias("_f"))
+        before = Window.partitionBy(end).orderBy("seq", "_e").rowsBetween(Window.unboundedPreceding, 0)
+        both = ends.withColumn("_e", F.lit(1)).unionByName(events, allowMissingColumns=True)
+        ends = both.withColumn(f"_{end}", F.last("_f", ignorenulls=True).over(before)).where("_e = 1").drop("_e", "_f")
     live = ends.where(~F.col("stays") | (F.coalesce("_src", F.lit(False)) & F.coalesce("_dst", F.lit(False))))
     last = live.groupBy("src", "dst").agg(F.max_by(F.struct("stays", "seq"), "seq").alias("e")).select("src", "dst", "e.stays", "e.seq").where("stays")
     for end in ("src", "dst"):
