@@ -116,3 +116,35 @@ def test_seeds_of_one_place_fill_their_disc_once(spark):
     want = sum((y - 5) ** 2 + (x - 5) ** 2 <= 64 and x < 10 for y in range(30) for x in range(30))
     assert {(r.seed, r.area) for r in df.collect()} == {(f"s{i}", want) for i in range(40)}
     assert most_rows(df) < 9 * 900
+
+
+def test_ways_of_piled_nodes_in_a_room(spark, tmp_path):
+    """As Dijkstra over all nodes, of equal ways that over the smaller node."""
+    import pandas as pd
+
+    from corridora.operators import paths
+
+    con = piled(tmp_path, 2)
+    keys = [2 + 50 * j + 6000 * i for j in range(8) for i in range(12)]
+    con.execute(f"COPY (SELECT t.* REPLACE (k AS c_custkey) FROM (SELECT * FROM customer LIMIT 1) t, (SELECT unnest({keys}) AS k)) TO '{tmp_path}/c.parquet' (FORMAT parquet)")
+    (tmp_path / "c.parquet").replace(tmp_path / "customer.parquet")
+    edges = [(r.src, r.dst, r.d2**0.5) for r in catalog.QUERIES["funnel_lattice"](spark, str(tmp_path)).collect()]
+    before = paths.dijkstra(paths.adjacency(pd.DataFrame(edges, columns=["src", "dst", "weight"])), "room_2")[1]
+    df = catalog.QUERIES["funnel_kept_edges"](spark, str(tmp_path))
+    got = [(r.floor, r.src, r.dst) for r in df.collect()]
+    assert len(before) == len(got) == len(keys) and set(got) == {(2, min(e), max(e)) for e in before.items()}
+    assert len(edges) > 1000 > most_rows(df)
+
+
+def test_routes_to_all_of_repeated_rows_in_more_partitions(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from corridora.operators import paths
+
+    monkeypatch.setattr(paths, "SOURCES", 1)
+    con = piled(tmp_path, 0, 1)
+    con.execute(f"COPY (SELECT p_partkey + 200 * i AS p_partkey FROM part, range(12) r(i) UNION ALL SELECT unnest([50, 51])) TO '{tmp_path}/p.parquet' (FORMAT parquet)")
+    (tmp_path / "p.parquet").replace(tmp_path / "part.parquet")
+    df = catalog.QUERIES["route_info"](spark, str(tmp_path))
+    assert as_in_sql(con, "route_info", df)
+    assert df.select(F.spark_partition_id()).distinct().count() > 4
